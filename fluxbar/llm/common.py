@@ -60,7 +60,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes each, a row at least."""
     n = batch.num_rows
     if not n:

@@ -158,7 +158,7 @@ class WordTokenizer:
     tokens go to the library's own encoder.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -339,7 +339,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capaci
         own, packer, rows = tokenizer(tokenizer_path), Packer(capacity, tail), []
         packer.sequences = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
-            for part in pieces(batch, 4_000_000):
+            for part in pieces(batch, 2_000_000):
                 for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
                     rows += packer.add(doc_id, np.append(ids, np.uint32(end_id)))
                 if len(rows) >= 20_000:
