@@ -170,11 +170,12 @@ def keep_identified(docs: DataFrame, least_coverage: float = 0.1, **how) -> Data
     def run(batches):
         import pyarrow as pa
 
-        from fluxbar.llm.common import pieces
+        from fluxbar.llm.common import give_back, pieces
 
         for batch in batches:
             for part in pieces(batch):
                 lang, _, share = shared.value.predict([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([x != "und" and s >= least_coverage for x, s in zip(lang, share, strict=True)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from fluxbar.llm.common import id_and_text, pieces, struct
+from fluxbar.llm.common import give_back, id_and_text, pieces, struct
 
 CAPACITY = 4096
 #: The word pattern and the white space of the tokenizer's pre-tokenization.
@@ -78,7 +78,8 @@ class Merges:
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
         self._made = np.array([vocab[a + b] for a, b in pairs] + [0], np.int64)
         self.none = len(pairs)
-        self._key, self._rank = np.full(1 << 21, -1, np.int64), np.full(1 << 21, self.none, np.int32)
+        self._bits = max(8, (4 * len(pairs)).bit_length())  # a quarter full at most
+        self._key, self._rank = np.full(1 << self._bits, -1, np.int64), np.full(1 << self._bits, self.none, np.int32)
         left, probe = np.arange(len(pairs)), 0
         while len(left):
             slot = self._slot(keys[left], probe)
@@ -88,10 +89,9 @@ class Merges:
             self._rank[slot[won]] = left[won]
             left, probe = left[~won], probe + 1
 
-    @staticmethod
-    def _slot(keys: np.ndarray, probe: int) -> np.ndarray:
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((mixed >> np.uint64(43)) + np.uint64(probe)).astype(np.int64) & ((1 << 21) - 1)
+        return ((mixed >> np.uint64(64 - self._bits)) + np.uint64(probe)).astype(np.int64) & ((1 << self._bits) - 1)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, `none` if it isn't merged."""
@@ -158,7 +158,7 @@ class WordTokenizer:
     tokens go to the library's own encoder.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -346,5 +346,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capaci
                     yield batch_of(rows)
                     rows = []
         yield batch_of(rows + list(packer.finish()))
+        del rows, packer
+        give_back()
 
     return id_and_text(docs).mapInArrow(run, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxbar.llm.common import id_and_text, map_batches, materialize, struct
+from fluxbar.llm.common import give_back, id_and_text, map_batches, materialize, struct
 
 SEED = 42
 
@@ -182,6 +182,7 @@ def links(distinct: DataFrame, radius: int = 4, most: int = 20_000) -> DataFrame
                     if sum(map(len, others)) >= most:
                         yield from close(False)
         yield from close(True)
+        give_back()
 
     dealt = rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "role")
     return dealt.mapInArrow(run, struct("a long, b long")).distinct()
