@@ -112,6 +112,98 @@ def rolling_ridge_residual(df: DataFrame, keys: list[str], order: str, roots: li
     return _ordered(df, keys, order, roots, of, [f"residual_{r}" for r in roots])
 
 
+def chi2_quantile(p: float, k: int) -> float:
+    """Where the chi-square distribution of k degrees reaches p, by bisection of the incomplete gamma function's series."""
+
+    def below(x):
+        term = total = 1 / math.gamma(k / 2 + 1)
+        n = k / 2
+        while term > 1e-17 * total:
+            n += 1
+            term *= x / 2 / n
+            total += term
+        return total * (x / 2) ** (k / 2) * math.exp(-x / 2)
+
+    low, high = 0.0, 20.0 + 10 * k
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if below(mid) < p else (low, mid)
+    return low
+
+
+def _concentrate(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Moments of the h rows of x nearest to the given ones."""
+    d = x - mean
+    near = x[np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.pinv(cov), d), kind="stable")[:h]]
+    return near.mean(0), np.cov(near, rowvar=False, bias=True).reshape(x.shape[1], x.shape[1])
+
+
+def _starts(x: np.ndarray, share: float, seed: int, tries: int, finalists: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Moments of the least determinants that concentration reaches in x from random subsets of one row more than columns."""
+    rng, h, k, found = np.random.default_rng(seed), max(x.shape[1] + 1, int(share * len(x))), x.shape[1], []
+    for _ in range(tries):
+        part = x[rng.choice(len(x), min(len(x), k + 1), replace=False)]
+        at = part.mean(0), np.cov(part, rowvar=False, bias=True).reshape(k, k)
+        for _ in range(2):
+            at = _concentrate(x, *at, h)
+        found.append(at)
+    found.sort(key=lambda m: np.linalg.det(m[1]))
+    return found[:finalists]
+
+
+def robust_distance(df: DataFrame, roots: list[str], share: float = 0.9, least: int = 100, ridge: float = 1e-6, seed: int = 7, sample: int = 1500, tries: int = 200, finalists: int = 3, steps: int = 30) -> DataFrame:
+    """df with distance: of each vector from the minimum-covariance-determinant moments of all.
+
+    FAST-MCD (Rousseeuw and Van Driessen, 1999): random starts are concentrated on a
+    bounded sample of `sample` rows, the best `finalists` then on all rows until the
+    determinant stops falling. A step is an aggregate over df; the bound of the
+    nearest `share` is a quantile sketch, exact up to a million rows. The moments are
+    made consistent at the median and taken anew from the rows within the 97.5 %
+    bound. Rows with a missing component have no distance; with fewer than `least`
+    others no row has one.
+    """
+    k, x = len(roots), [F.col(r).cast("double") for r in roots]
+    fine = F.lit(True)
+    for c in x:
+        fine = fine & c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    fine = F.coalesce(fine, F.lit(False))
+    valid = df.where(fine).select(*[c.alias(f"x{i}") for i, c in enumerate(x)])
+    n = valid.count()
+    if n < max(least, k + 2):
+        return df.withColumn("distance", F.lit(None).cast("double"))
+
+    def square(columns, mean, cov):
+        inverse, d = np.linalg.pinv(cov), [c - float(m) for c, m in zip(columns, mean, strict=True)]
+        terms = [d[i] * d[j] * float(inverse[i, j]) for i in range(k) for j in range(k)]
+        return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
+
+    names = [F.col(f"x{i}") for i in range(k)]
+
+    def moments(rows):
+        r = rows.agg(*[F.avg(c) for c in names], *[F.covar_pop(names[i], names[j]) for i in range(k) for j in range(k)]).first()
+        return np.array(r[:k]), np.array(r[k:]).reshape(k, k)
+
+    def reach(at, part):
+        return valid.agg(F.percentile_approx(square(names, *at), part, 1_000_000)).first()[0]
+
+    some = np.array(valid.orderBy(F.xxhash64(F.lit(seed), *names), *names).limit(sample).collect(), float)
+    best = None
+    for at in _starts(some, share, seed, tries, finalists):
+        det = math.inf
+        for _ in range(steps):
+            new = moments(valid.where(square(names, *at) <= reach(at, int(share * n) / n)))
+            fell, det, at = np.linalg.det(new[1]) < det * (1 - 1e-12), np.linalg.det(new[1]), new
+            if not fell:
+                break
+        if best is None or det < best[0]:
+            best = det, at
+    at = best[1]
+    scale = reach(at, 0.5) / chi2_quantile(0.5, k)
+    if scale > 0:
+        at = moments(valid.where(square(names, *at) / scale < chi2_quantile(0.975, k)))
+    return df.withColumn("distance", F.when(fine, F.sqrt(square(x, at[0], _ridged(at[1], ridge)))))
+
+
 def quantile_flags(df: DataFrame, x: str, quantiles: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:
     """df with a flag for each quantile of the whole sample that x reaches; missing x is false. The thresholds are one row."""
     limits = df.agg(F.percentile(x, F.array(*[F.lit(q) for q in quantiles])).alias("__q"))

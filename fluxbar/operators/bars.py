@@ -171,6 +171,24 @@ def continuous(bars: DataFrame, schedule: DataFrame) -> DataFrame:
     return df.select("root", "ts", "active", F.col("r").alias("cont_logret"), "cont_logprice", F.exp("cont_logprice").alias("cont_close"), "rolled")
 
 
+def carry(bars: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(root, session, front, second, carry) from daily bars (root, session, symbol, close) and a schedule (root, session, active).
+
+    carry is the log of the active contract's close over that of the next one to
+    expire among those of the session. Contracts expire in the order of their last
+    sessions, ties by symbol. Sessions without either close, or with one that isn't
+    positive, are left out; of repeated bars the least close counts.
+    """
+    daily = bars.groupBy("root", "session", "symbol").agg(F.min("close").alias("close"))
+    ends = daily.groupBy("root", "symbol").agg(F.max("session").alias("last"))
+    ranks = ends.select("root", "symbol", F.row_number().over(Window.partitionBy("root").orderBy("last", "symbol")).alias("rank"))
+    active = schedule.select("root", "session", F.col("active").alias("symbol")).join(ranks, ["root", "symbol"]).select("root", "session", F.col("rank").alias("active_rank"))
+    both = daily.join(ranks, ["root", "symbol"]).join(active, ["root", "session"])
+    later = F.when(F.col("rank") > F.col("active_rank"), F.col("rank"))
+    pair = both.groupBy("root", "session").agg(F.max(F.when(F.col("rank") == F.col("active_rank"), F.col("close"))).alias("front"), F.min_by("close", later).alias("second"))
+    return pair.where("front > 0 AND second > 0").withColumn("carry", F.log(F.col("front") / F.col("second")))
+
+
 def outright(symbol: str, root: str) -> Column:
     """Whether a symbol is a single contract of the root: month code and one or two digits."""
     return F.col(symbol).rlike(rf"^\Q{root}\E[FGHJKMNQUVXZ]\d{{1,2}}$")

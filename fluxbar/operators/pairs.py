@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxbar.functions import series
+from fluxbar.functions import div, guarded, series, trailing
 from fluxbar.operators.windows import rolling_beta
 
 
@@ -93,6 +93,76 @@ def run(frames: DataFrame, lookback: int, rules: Rules, cost_bps: float, lag: in
     return returns(done, cost_bps, lag, pair, order)
 
 
+def pair_distance(frames: DataFrame, lookback: int, ridge: float = 1e-6, pair: str = "pair", order: str = "ts") -> DataFrame:
+    """frames with distance, pull_a and pull_b: both log prices against their moments over the last `lookback` rows, this one included.
+
+    distance is the Mahalanobis distance and (pull_a, pull_b) the inverse covariance
+    times the deviation, each in closed form over window functions. All are NULL
+    until the window is full, where it misses a price, and where the covariance with
+    `ridge` on its diagonal is singular.
+    """
+    t = trailing(series(pair, order=order), lookback)
+    a, b = F.col("log_price_a"), F.col("log_price_b")
+    both = F.when(a.isNotNull() & b.isNotNull(), a)
+    va, vb, ab = F.var_samp(a).over(t) + ridge, F.var_samp(b).over(t) + ridge, F.covar_samp(a, b).over(t)
+    moments = F.struct((a - F.avg(a).over(t)).alias("a"), (b - F.avg(b).over(t)).alias("b"), va.alias("va"), vb.alias("vb"), ab.alias("ab"))
+    df = frames.withColumn("__m", guarded(moments, both, t, lookback))
+    m = {k: F.col(f"__m.{k}") for k in ("a", "b", "va", "vb", "ab")}
+    det = m["va"] * m["vb"] - m["ab"] * m["ab"]
+    df = df.withColumn("pull_a", div(m["vb"] * m["a"] - m["ab"] * m["b"], det)).withColumn("pull_b", div(m["va"] * m["b"] - m["ab"] * m["a"], det))
+    square = m["a"] * F.col("pull_a") + m["b"] * F.col("pull_b")
+    return df.withColumn("distance", F.when(square >= 0, F.sqrt(square))).drop("__m")
+
+
+def distance_fold(distance, pull_a, pull_b, r: Rules) -> tuple[list[int], list[float], list[float]]:
+    """States (1 in a position) and both legs' targets. Legs lie against the pull, of gross 1, and are set anew on the rebalance rows.
+
+    A row without a distance has no targets; it ends a position that may end and
+    leaves holding and waiting times as they are.
+    """
+    state, held, wait, legs = 0, 0, 0, (0.0, 0.0)
+    states, one, two = [], [], []
+    for i, d in enumerate(distance):
+        if not math.isfinite(d):
+            if held >= r.min_hold:
+                state = 0
+            states.append(state)
+            one.append(0.0)
+            two.append(0.0)
+            continue
+        before, due = state, i % r.rebalance == 0
+        if due and state and held >= r.min_hold and d < r.exit:
+            state = 0
+        elif due and not state and not wait and d > r.entry:
+            state = 1
+        if not state:
+            legs, held, wait = (0.0, 0.0), 0, r.cooldown if before else max(wait - 1, 0)
+        else:
+            held, wait = held + 1 if before else 1, 0
+            gross = abs(pull_a[i]) + abs(pull_b[i])
+            if due and 0 < gross < math.inf:
+                legs = (-pull_a[i] / gross, -pull_b[i] / gross)
+        states.append(state)
+        one.append(legs[0])
+        two.append(legs[1])
+    return states, one, two
+
+
+def run_distance(frames: DataFrame, lookback: int, rules: Rules, cost_bps: float, ridge: float = 1e-6, lag: int = 1, pair: str = "pair", order: str = "ts") -> DataFrame:
+    """As run(), with positions entered and left by the Mahalanobis distance; entry and exit are its bounds."""
+    kind = {f.name: f.dataType.simpleString() for f in frames.schema}
+    columns = ["log_return_a", "log_return_b", "distance", "pull_a", "pull_b"]
+
+    def each(pdf):
+        pdf = pdf.sort_values(order)
+        states, one, two = distance_fold(*[pdf[c].to_numpy(float) for c in columns[2:]], rules)
+        return pdf.assign(state=states, target_a=one, target_b=two)
+
+    schema = f"{pair} {kind[pair]}, {order} {kind[order]}, " + ", ".join(f"{c} double" for c in columns) + ", state int, target_a double, target_b double"
+    done = pair_distance(frames, lookback, ridge, pair, order).select(pair, order, *columns).groupBy(pair).applyInPandas(each, schema)
+    return returns(done, cost_bps, lag, pair, order)
+
+
 def returns(done: DataFrame, cost_bps: float, lag: int = 1, pair: str = "pair", order: str = "ts") -> DataFrame:
     w = series(pair, order=order)
     for s in ("a", "b"):

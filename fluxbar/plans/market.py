@@ -326,6 +326,21 @@ def o15a(spark, sf_dir):
     return bars.continuous(t.select("root", "session", "symbol", "ts", F.col("price").alias("close")), bars.contract_schedule(v))
 
 
+@query("o15b_carry", _sql(s.TRADES_SQL + """,
+c AS (SELECT root, ts::DATE AS session, root || CASE user_id % 3 WHEN 0 THEN 'H6' WHEN 1 THEN 'M6' ELSE 'U6' END AS symbol, price, size, ts, seq FROM trades),
+d AS (SELECT root, session, symbol, arg_max(price, (ts, seq)) AS close, sum(size) AS volume FROM c GROUP BY ALL),
+k AS (SELECT root, symbol, row_number() OVER (PARTITION BY root ORDER BY max(session), symbol) AS rk FROM d GROUP BY root, symbol),
+r AS (SELECT d.*, rk, row_number() OVER (PARTITION BY d.root, session ORDER BY volume DESC, d.symbol) AS nth FROM d JOIN k ON d.root = k.root AND d.symbol = k.symbol),
+n AS (SELECT a.root, a.session, a.close AS front, b.close AS second, row_number() OVER (PARTITION BY a.root, a.session ORDER BY b.rk) AS i
+      FROM r a JOIN r b ON a.root = b.root AND a.session = b.session AND b.rk > a.rk WHERE a.nth = 1)""",
+    "SELECT root, session, round(ln(front / second), 6) AS carry FROM n WHERE i = 1 AND front > 0 AND second > 0"))
+def o15b(spark, sf_dir):
+    t = _contracts(spark, sf_dir)[0].withColumn("session", F.to_date("ts"))
+    d = t.groupBy("root", "session", "symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("size").alias("volume"))
+    largest = F.min_by("symbol", F.struct(-F.col("volume"), "symbol"))
+    return bars.carry(d, d.groupBy("root", "session").agg(largest.alias("active"))).select("root", "session", *r6("carry"))
+
+
 @query("o160_size_buckets", _sql(s.TRADES_SQL + """,
 q AS (SELECT root, quantile_cont(notional, [0.5, 0.9, 0.99]) AS q FROM trades GROUP BY root)""", """SELECT t.root, CASE WHEN notional <= q[1] THEN 'small' WHEN notional <= q[2] THEN 'medium' WHEN notional <= q[3] THEN 'large' ELSE 'very_large' END AS bucket,
   count(*) AS n, round(sum(notional), 4) AS notional FROM trades t JOIN q ON q.root = t.root GROUP BY 1, 2"""))
@@ -408,6 +423,12 @@ def o167(spark, sf_dir):
     return anomaly.quantile_flags(anomaly.rolling_mahalanobis(w, ["universe"], "hour", roots, 100, 30), "distance")
 
 
+@query("o169_robust_distance")
+def o169(spark, sf_dir):
+    w, roots = _wide(spark, sf_dir)
+    return anomaly.robust_distance(w.select("hour", *roots), roots)
+
+
 @query("o15l_ewma_mahalanobis")
 def o15l(spark, sf_dir):
     w, roots = _wide(spark, sf_dir)
@@ -462,6 +483,41 @@ def o15c(spark, sf_dir):
     return pairs.run(_pair_frames(spark, sf_dir), 30, pairs.Rules(1.5, 0.5), 1.0).select("pair", "ts", "state")
 
 
+DISTANCES = PAIRS + """,
+mo AS (SELECT *, count(*) OVER w AS n, xa - avg(xa) OVER w AS da, xb - avg(xb) OVER w AS db, var_samp(xa) OVER w + 1e-4 AS va, var_samp(xb) OVER w + 1e-4 AS vb, covar_samp(xa, xb) OVER w AS ab
+       FROM zs WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS 29 PRECEDING)),
+pu AS (SELECT *, CASE WHEN n = 30 THEN (vb * da - ab * db) / (va * vb - ab * ab) END AS pa, CASE WHEN n = 30 THEN (va * db - ab * da) / (va * vb - ab * ab) END AS pb FROM mo),
+di AS (SELECT *, CASE WHEN da * pa + db * pb >= 0 THEN sqrt(da * pa + db * pb) END AS d, row_number() OVER (PARTITION BY pair ORDER BY ts) AS i FROM pu)"""
+
+
+@query("o168_pair_distance", _sql(DISTANCES, "SELECT pair, ts, round(d, 4) AS distance FROM di"))
+def o168(spark, sf_dir):
+    return pairs.pair_distance(_pair_frames(spark, sf_dir), 30, 1e-4).select("pair", "ts", F.round("distance", 4).alias("distance"))
+
+
+@query("o15d_confirmed_entries", f"""WITH RECURSIVE {DISTANCES},
+f(pair, i, st) AS (SELECT pair, i, 0 FROM di WHERE i = 1 UNION ALL
+  SELECT n.pair, n.i, CASE WHEN n.z IS NULL OR n.beta IS NULL THEN 0 WHEN f.st <> 0 AND abs(n.z) < 0.5 THEN 0
+    WHEN (f.st = 0 OR f.st = 1) AND n.z > 1.5 THEN CASE WHEN n.d > 1.8 THEN -1 ELSE 0 END
+    WHEN (f.st = 0 OR f.st = -1) AND n.z < -1.5 THEN CASE WHEN n.d > 1.8 THEN 1 ELSE 0 END ELSE f.st END
+  FROM f JOIN di n ON n.pair = f.pair AND n.i = f.i + 1)
+SELECT f.pair, n.ts, f.st AS state FROM f JOIN di n ON n.pair = f.pair AND n.i = f.i""")
+def o15d(spark, sf_dir):
+    frames = pairs.pair_distance(_pair_frames(spark, sf_dir), 30, 1e-4)
+    return pairs.run(frames, 30, pairs.Rules(1.5, 0.5, confirm=1.8), 1.0).select("pair", "ts", "state")
+
+
+@query("o15e_distance_pairs", f"""WITH RECURSIVE {DISTANCES},
+f(pair, i, st) AS (SELECT pair, i, 0 FROM di WHERE i = 1 UNION ALL
+  SELECT n.pair, n.i, CASE WHEN n.d IS NULL THEN 0 WHEN f.st = 1 AND n.d < 0.8 THEN 0 WHEN f.st = 0 AND n.d > 2.0 THEN 1 ELSE f.st END
+  FROM f JOIN di n ON n.pair = f.pair AND n.i = f.i + 1)
+SELECT f.pair, n.ts, f.st AS state, round(CASE WHEN f.st = 1 THEN -n.pa / (abs(n.pa) + abs(n.pb)) ELSE 0.0 END, 4)::DOUBLE AS target_a
+FROM f JOIN di n ON n.pair = f.pair AND n.i = f.i""")
+def o15e(spark, sf_dir):
+    done = pairs.run_distance(_pair_frames(spark, sf_dir), 30, pairs.Rules(2.0, 0.8), 1.0, 1e-4)
+    return done.select("pair", "ts", "state", F.round("target_a", 4).alias("target_a"))
+
+
 @query("o066_pair_portfolio")
 def o066(spark, sf_dir):
     return pairs.portfolio(pairs.run(_pair_frames(spark, sf_dir), 30, pairs.Rules(1.5, 0.5, 3, 3, 3), 1.0))

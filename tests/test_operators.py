@@ -199,3 +199,59 @@ def test_filters_reach_the_scan(spark):
     plan = sources.between(sources.table(spark, "/root/testdata/sf0.001", "orders"), "o_orderkey", 1, 5).select("o_orderkey")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderkey,1)" in text and "ReadSchema: struct<o_orderkey:bigint>" in text
+
+
+def test_pair_distance_matches_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(0, 0.01, (40, 2)), axis=0)
+    rows = [("p", i, float(a), None if i == 30 else float(b), 0.0, 0.0) for i, (a, b) in enumerate(x)]
+    frames = spark.createDataFrame(rows, "pair string, ts int, log_price_a double, log_price_b double, log_return_a double, log_return_b double")
+    got = {r.ts: r for r in pairs.pair_distance(frames, 10, 1e-4).collect()}
+    for i in range(40):
+        if i < 9 or i >= 30:  # the missing price is within the last ten rows to the end
+            assert got[i].distance is None and got[i].pull_a is None
+            continue
+        w = x[i - 9 : i + 1]
+        d, inverse = x[i] - w.mean(0), np.linalg.inv(np.cov(w, rowvar=False) + 1e-4 * np.eye(2))
+        assert math.isclose(got[i].distance, math.sqrt(d @ inverse @ d), rel_tol=1e-6)
+        assert np.allclose([got[i].pull_a, got[i].pull_b], inverse @ d, rtol=1e-6, atol=1e-9)
+    done = pairs.run_distance(frames, 10, pairs.Rules(1.5, 0.5), 1.0, 1e-4).collect()
+    assert len(done) == 40 and all(abs(r.target_a) + abs(r.target_b) <= 1 + 1e-12 for r in done)
+    assert pairs.run_distance(frames.limit(0), 10, pairs.Rules(1.5, 0.5), 1.0).count() == 0
+
+
+def test_distance_states_follow_the_rules():
+    nan = math.nan
+    d = [3, 1, 0.2, 3, nan, 3, 0.2, 3]
+    states, one, two = pairs.distance_fold(d, [1.0] * 8, [-3.0] * 8, pairs.Rules(2, 0.5))
+    assert states == [1, 1, 0, 1, 0, 1, 0, 1] and one[0] == -0.25 and two[0] == 0.75 and one[4] == 0.0
+    held = pairs.distance_fold(d, [1.0] * 8, [-3.0] * 8, pairs.Rules(2, 0.5, min_hold=3, cooldown=2))[0]
+    assert held == [1, 1, 1, 1, 0, 1, 1, 1]  # a row without a distance starts no waiting time
+    assert pairs.distance_fold([3, 0.2, 3, 3, 3], [1.0] * 5, [-3.0] * 5, pairs.Rules(2, 0.5, cooldown=2))[0] == [1, 0, 0, 0, 1]
+    every = pairs.distance_fold(d, [1.0] * 8, [-3.0] * 8, pairs.Rules(2, 0.5, rebalance=2))[0]
+    assert every == [1, 1, 0, 0, 0, 0, 0, 0]
+
+
+def test_carry_takes_the_next_to_expire(spark):
+    rows = [("A", 1, "AH6", 100.0), ("A", 1, "AM6", 110.0), ("A", 1, "AU6", 130.0), ("A", 2, "AM6", 120.0), ("A", 2, "AU6", 0.0), ("A", 3, "AU6", 90.0), ("B", 1, "BH6", 5.0)]
+    daily = spark.createDataFrame(rows, "root string, session int, symbol string, close double")
+    plan = spark.createDataFrame([("A", 1, "AH6"), ("A", 2, "AM6"), ("A", 3, "AU6"), ("A", 4, "AU6"), ("B", 1, "BH6"), ("B", 2, None)], "root string, session int, active string")
+    got = bars.carry(daily, plan).collect()
+    assert [(r.root, r.session, r.second) for r in got] == [("A", 1, 110.0)] and math.isclose(got[0].carry, math.log(100 / 110))
+    assert bars.carry(daily.limit(0), plan).count() == 0
+
+
+def test_robust_distance_isn_t_moved_by_outliers(spark):
+    assert math.isclose(anomaly.chi2_quantile(0.5, 2), 2 * math.log(2), rel_tol=1e-9) and math.isclose(anomaly.chi2_quantile(0.975, 1), 5.023886, rel_tol=1e-6)
+    rng = np.random.default_rng(5)
+    clean = rng.multivariate_normal([1, -2], [[1, 0.6], [0.6, 2]], 380)
+    x = np.vstack([clean, rng.normal([14, 14], 0.2, (20, 2))])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(400, None, 1.0), (401, math.nan, 1.0)]
+    df = spark.createDataFrame(rows, "i int, a double, b double")
+    got = {r.i: r.distance for r in anomaly.robust_distance(df, ["a", "b"], tries=50, finalists=2).collect()}
+    assert got[400] is None and got[401] is None
+    inverse = np.linalg.inv(np.cov(clean, rowvar=False))
+    plain = np.sqrt(np.einsum("ij,jk,ik->i", clean - clean.mean(0), inverse, clean - clean.mean(0)))
+    assert min(got[i] for i in range(380, 400)) > 8 > max(got[i] for i in range(380))
+    assert np.corrcoef(plain, [got[i] for i in range(380)])[0, 1] > 0.99
+    assert {r.distance for r in anomaly.robust_distance(df.limit(5), ["a", "b"]).collect()} == {None}
