@@ -84,11 +84,12 @@ def hold_mask(flag: str, w: WindowSpec, k: int) -> Column:
 def chronological_split(df: DataFrame, key: str, share: float) -> DataFrame:
     """df with train: whether the row's key is among the first floor(share n) of the n distinct keys, 1 to n - 1 of them.
 
-    The keys are ranked by themselves, not the rows, and joined back.
+    The keys are numbered by themselves, not the rows, range by range; the last one of the training part is one row.
     """
+    from fluxbar.operators.panels import global_index
+
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    ranked = keys.withColumn("__r", F.row_number().over(Window.orderBy(key)))
     n = keys.agg(F.count(F.lit(1)).alias("__n"))
     cut = F.least(F.greatest(F.floor(F.col("__n") * share), F.lit(1)), F.col("__n") - 1)
-    last = ranked.join(F.broadcast(n)).where(F.col("__r") == cut).select(F.col(key).alias("__last"))
+    last = global_index(keys, [key], "__r").join(F.broadcast(n)).where(F.col("__r") == cut - 1).select(F.col(key).alias("__last"))
     return df.join(F.broadcast(last), how="left").withColumn("train", F.coalesce(F.col(key) <= F.col("__last"), F.lit(False))).drop("__last")
