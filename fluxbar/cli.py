@@ -5,10 +5,14 @@ from __future__ import annotations
 import argparse
 import glob
 import os
+import platform
 
+import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxbar import catalog
+from fluxbar.plans import experiments
 
 
 def register(spark: SparkSession, folder: str) -> list[str]:
@@ -38,7 +42,10 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--explain", action="store_true")
         c.add_argument("--out", help="write Parquet here instead of showing rows")
         c.add_argument("--rows", type=int, default=20, help="how many rows to show")
+    e = sub.add_parser("run-experiment", help="run a config and write equity and metrics")
+    e.add_argument("config")
     sub.add_parser("list")
+    sub.add_parser("doctor", help="show the versions in use")
     return p
 
 
@@ -47,7 +54,13 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "list":
         print("\n".join(sorted(catalog.queries())))
         return
+    if args.command == "doctor":
+        print(f"python {platform.python_version()}, pyspark {pyspark.__version__}, pyarrow {pa.__version__}")
+        return
     spark = SparkSession.builder.appName("fluxbar").getOrCreate()
+    if args.command == "run-experiment":
+        experiments.run_experiment(spark, experiments.read_config(args.config)).show(truncate=False)
+        return
     df = execute(spark, args)
     if args.explain:
         df.explain("formatted")

@@ -42,7 +42,7 @@ def linspace_rows(df: DataFrame, order: list[str], most: int) -> DataFrame:
         return indexed.where(F.col("row_index") < most)
     at = F.bround(F.col("__k") * (F.col("__n") - 1) / F.lit(float(most - 1)), 0).cast("long")
     wanted = _count(df).where(F.col("__n") > most).select("__n", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("__k")).select(at.alias("__want")).distinct()
-    few = _count(df).where(F.col("__n") <= most).select(F.explode(F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0)))).cast("long").alias("__want"))
+    few = _count(df).where(F.col("__n") <= most).select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("__n") - 1, F.lit(0)))).alias("__want"))
     return indexed.join(F.broadcast(wanted.union(few)), F.col("row_index") == F.col("__want"), "left_semi")
 
 

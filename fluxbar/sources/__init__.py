@@ -82,6 +82,14 @@ def between(df: DataFrame, column: str, start, end, closed: bool = True) -> Data
     return df.where((c >= F.lit(start)) & ((c <= F.lit(end)) if closed else (c < F.lit(end))))
 
 
+def matching(df: DataFrame, wanted: dict) -> DataFrame:
+    """Rows with the wanted values; columns that df lacks are passed over."""
+    for column, value in wanted.items():
+        if column in df.columns:
+            df = df.where(F.col(column) == F.lit(value))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
