@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from fluxbar.llm.common import materialize
 
 SOLID = r"[^\x20\x09-\x0D]"
+#: Bound of the classes broadcast at once.
+HOT_CLASSES = 5_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -41,9 +43,22 @@ def _place():
 
 
 def _repeated(suffixes: DataFrame) -> DataFrame:
-    """The suffixes whose class has others, with the class's first place. Classes are pre-aggregated; only those that repeat are joined back."""
-    classes = suffixes.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").drop("last")
-    return suffixes.join(classes, ["a", "b"])
+    """The suffixes whose class has others, with the class's first place.
+
+    Classes are pre-aggregated and joined back. Those with more than a HOT_CLASSES-th
+    of all repeated suffixes, of which there are HOT_CLASSES at most, are broadcast, and
+    their suffixes are dealt by place, not by class: no task gets a whole hot class.
+    """
+    classes = suffixes.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").drop("last")
+    classes = materialize(classes, "line-repeats")
+    limit = max(1_000, (classes.agg(F.sum("n")).first()[0] or 0) // HOT_CLASSES)
+    hot = classes.where(F.col("n") > limit).select(F.col("a").alias("hot_a"), F.col("b").alias("hot_b"), F.col("first").alias("hot_first"))
+    cold = classes.where(F.col("n") <= limit).select(F.col("a").alias("cold_a"), F.col("b").alias("cold_b"), F.col("first").alias("cold_first"))
+    tagged = suffixes.join(F.broadcast(hot), (F.col("a") == F.col("hot_a")) & (F.col("b") == F.col("hot_b")), "left")
+    dealt = F.when(F.col("hot_a").isNull(), F.col("a")).otherwise(F.xxhash64("doc_id", "body", "nth"))
+    joined = tagged.withColumn("dealt", dealt).join(cold, (F.col("dealt") == F.col("cold_a")) & (F.col("b") == F.col("cold_b")) & F.col("hot_a").isNull(), "left")
+    first = F.coalesce("hot_first", "cold_first")
+    return joined.where(first.isNotNull()).select(*suffixes.columns, first.alias("first"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 10) -> DataFrame:

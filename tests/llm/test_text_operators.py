@@ -257,6 +257,16 @@ def test_line_runs_match_the_definition(spark):
         assert (r.text, r.n_removed) == want[r.doc_id, dict(rows)[r.doc_id]]
 
 
+def test_line_runs_of_hot_classes(spark):
+    n = 2500  # over the least size of a hot class
+    rows = [(i, f"before {i}\nhot line\nhot next\n\nafter {i // 2}") for i in range(n)]
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0].text == rows[0][1] and len(found) == n
+    for i in range(1, n):
+        # Odd documents also share the last line with the one before, which lengthens the run to it over the blank line.
+        assert found[i].text == (f"before {i}" if i % 2 else f"before {i}\n\nafter {i // 2}")
+
+
 def test_line_runs_odd_tables(odd_documents, no_documents):
     found = line_dedup.dedup_lines(odd_documents)
     by = defaultdict(list)
