@@ -48,6 +48,8 @@ MOST_DEPTH = 256
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+# Searched in the page itself: its lower case can have other places (U+0130 becomes two code points).
+_RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -117,7 +119,7 @@ class Page:
                 opened[x[0]] -= 1
             del stack[at:]
 
-        at, low = 0, None
+        at = 0
         while True:
             m = _TAG.search(html, at)
             if not m:
@@ -167,9 +169,8 @@ class Page:
                 self.parents.append(node)
                 node = len(self.keys) - 1
             if tag in RAW:
-                low = low or html.lower()
-                end = low.find("</" + tag, at) if len(low) == len(html) else -1
-                end = len(html) if end < 0 else end
+                ended = _RAW_END[tag].search(html, at)
+                end = ended.start() if ended else len(html)
                 if tag == "title" and not self.title:
                     self.title = " ".join(entities.unescape(html[at:end]).split())
                 close = html.find(">", end)

@@ -105,6 +105,12 @@ def test_blocks(html, text):
     assert text_of(html) == text
 
 
+def test_raw_elements_end_where_the_page_says():
+    html = "<TITLE>İstanbul</Title><article><p>İlk</p><script>x='İ'</SCRIPT><p>son</p></article>"
+    assert text_of(html) == "İlk\nson" and html_wrapper.Page(html).title == "İstanbul"
+    assert text_of("<script></ſcript>no</script><p>yes</p>") == "yes"
+
+
 def test_deep_and_long_pages():
     assert text_of("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert text_of("<article>" + "<p>w" * 5000 + "</article>").count("w") == 5000
