@@ -5,8 +5,8 @@ them and its first digits name the block. A source's target is so many whole
 passes over its blocks and a rest, drawn as the first blocks of the permutation.
 The blocks of all passes are dealt to the output shards by a binary tree, each
 node of which splits its exact block quotas by a multivariate hypergeometric
-draw; a shard takes the next blocks of each source's permutation and orders its
-documents by another hash.
+draw; a shard takes the next blocks of each source's permutation, and
+dealt_documents orders a shard's documents by another hash.
 """
 
 from __future__ import annotations
@@ -78,13 +78,13 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, shards: int = 16, block_digits: int = 3, seed: int = 0, max_sources: int = 100_000) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source, source_size, target, taken, block and shard.
+    """One row for each row of docs: doc_id, size, source, source_size, target, taken, block, shard and shards.
 
     size counts words (null text: 0). taken is floor(target / source_size) passes
     over the document and, for the rest, the documents first in the source's
     permutation, the last of them in part, so that the source's taken words are its
     target rounded. shard is where the document's last copy goes (null if nothing is
-    taken). Documents with one doc_id have one place in the permutation and go by
+    taken), shards where each copy goes, the last in part. Documents with one doc_id have one place in the permutation and go by
     size; rows alike in both are interchangeable. Sources without words have target 0.
     The driver gets one row a source, max_sources at most (more raise an error); the
     rank within a source is taken block by block, of which there are 16**block_digits.
@@ -115,10 +115,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     keys = F.broadcast(plan)
     at = blocks.join(keys, blocks["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     copies = F.col("passes") + (F.col("before") < F.col("rest")).cast("long")
-    copy = F.col("n_blocks") * (copies - 1) + F.col("nth")
+    dealt_to = F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), lambda p: F.size(F.filter("until", lambda u: u <= F.col("n_blocks") * p + F.col("nth"))))
     at = at.select(
         "source", "block", "source_size", "target", "passes", "rest", "before", "words",
-        F.when(copies > 0, F.size(F.filter("until", lambda u: u <= copy))).alias("shard"),
+        F.when(copies > 0, dealt_to).alias("shards"),
     )
     at = at.withColumnRenamed("source", "b_source").withColumnRenamed("block", "b_block")
     rows = sized.join(at, sized["source"].eqNullSafe(at["b_source"]) & (sized["block"] == at["b_block"]))
@@ -129,7 +129,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     cut = rows.where(ends).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before)))
     out = whole.unionByName(cut)
     taken = F.col("passes") * F.col("size") + F.col("part")
-    return out.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "block", F.when(taken > 0, F.col("shard")).alias("shard"))
+    return out.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "block", F.when(taken > 0, F.element_at("shards", -1)).alias("shard"), F.when(taken > 0, F.col("shards")).alias("shards"))
 
 
 def copies_of(size: Column, taken: Column) -> Column:
@@ -137,12 +137,23 @@ def copies_of(size: Column, taken: Column) -> Column:
     return F.when(size > 0, F.floor((2 * taken + size) / (2 * size))).otherwise(0).cast("int")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as the mix takes it whole (a half and more counts), all columns as they are.
+def dealt_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
+    """The mix itself in its order: each row of docs as often as the mix takes it whole (a half and more counts), with __copy, __shard and __order.
 
-    Rows that repeat a doc_id share the copies of the one that is taken most.
+    A copy goes to the shard the splitting tree gives its block; a shard is ordered
+    by a hash of doc_id and copy, another than the one that orders the source, so
+    that copies part. Rows that repeat a doc_id share the copies of the one that is
+    taken most.
     """
-    taken = mix_sources(docs, **how).groupBy("doc_id").agg(F.max(copies_of(F.col("size"), F.col("taken"))).alias("__copies"))
-    taken = taken.where(F.col("__copies") > 0).withColumnRenamed("doc_id", "__taken_id")
+    copies = copies_of(F.col("size"), F.col("taken"))
+    taken = mix_sources(docs, seed=seed, **how).select("doc_id", F.struct(copies.alias("copies"), F.slice("shards", 1, copies).alias("shards")).alias("own")).where("own.copies > 0")
+    taken = taken.groupBy("doc_id").agg(F.max("own").getField("shards").alias("__shards")).withColumnRenamed("doc_id", "__taken_id")
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__taken_id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])
+    each = joined.select(*[docs[c] for c in docs.columns], F.posexplode("__shards").alias("__copy", "__shard"))
+    order = F.md5(F.concat(F.lit(f"{seed}:order:"), F.col("__copy").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return each.withColumn("__order", order).orderBy("__shard", "__order")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """dealt_documents with the columns of docs only: shard after shard, each in its own order."""
+    return dealt_documents(docs, **how).select(*docs.columns)

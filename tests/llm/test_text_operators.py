@@ -218,6 +218,25 @@ def test_mix_takes_the_targets(documents, odd_documents, no_documents):
     assert mixed.columns == odd_documents.columns and mixed.count() > 0
 
 
+def test_mix_deals_copies_to_the_tree_s_shards_and_parts_them(documents):
+    sized = {r.doc_id: r for r in mixing.mix_sources(documents).collect()}
+    rows = mixing.dealt_documents(documents).select("doc_id", "__copy", "__shard", "__order").collect()
+    assert [(r["__shard"], r["__order"]) for r in rows] == sorted((r["__shard"], r["__order"]) for r in rows)
+    assert len({r["__shard"] for r in rows}) > 4 and len({(r.doc_id, r["__copy"]) for r in rows}) == len(rows)
+    for r in rows:
+        own = sized[r.doc_id]
+        assert r["__shard"] == own.shards[r["__copy"]] and own.shard == own.shards[-1] and own.shards == sorted(own.shards)
+    want = {i: (2 * r.taken + r["size"]) // (2 * r["size"]) for i, r in sized.items() if r["size"]}
+    times = defaultdict(int)
+    for r in rows:
+        times[r.doc_id] += 1
+    assert dict(times) == {i: n for i, n in want.items() if n}
+    # With one shard copies of one document could lie side by side; the order's hash parts nearly all.
+    order = [r.doc_id for r in mixing.mixed_documents(documents, shards=1).select("doc_id").collect()]
+    beside = sum(a == b for a, b in zip(order, order[1:], strict=False))
+    assert max(times.values()) > 1 and beside <= 0.05 * len(order)
+
+
 # Line dedup
 
 
