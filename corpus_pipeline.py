@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxbar.llm import langid, line_dedup, mixing, packing, simhash
+from fluxbar.llm import langid, line_dedup, mixing, near_copies, packing
 from fluxbar.llm.common import materialize
 from fluxbar.llm.queries import tokenizer_path
 
@@ -20,8 +20,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
-    return simhash.keep_representatives(docs)
+    """Near-dedup: of documents linked by a similarity of 0.8 in shingles of five words one stays."""
+    return near_copies.keep_representatives(docs, shingle=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identify), ("line_dedup", dedup_lines), ("simhash_dedup", dedup_near), ("mix_sources", mix), ("pack", pack)]
 
-#: SimHash groups and token ids can't be expressed in SQL; tests/llm compares the rows with a brute-force version.
+#: Near-copy groups and token ids can't be expressed in SQL; tests/llm compares the rows with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -253,7 +254,11 @@ def keep_representatives(docs: DataFrame, radius: int = 4, shingle: int = 4) ->
 
     Of rows that repeat a doc_id one stays. A group without any doc_id keeps one row.
     """
-    found = near_duplicates(docs, radius, shingle)
+    return keep_groups(docs, near_duplicates(docs, radius, shingle), lambda t: f"{fingerprint(t, shingle):016x}")
+
+
+def keep_groups(docs: DataFrame, found: DataFrame, code: Callable[[str], str]) -> DataFrame:
+    """keep_representatives for the groups in found (doc_id, fingerprint, component_id); code gives a text's fingerprint."""
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), F.col("fingerprint").alias("__kept_fp")).distinct()
     named = keep.where("__kept_id is not null").groupBy("__kept_id").agg(F.min("__kept_fp").alias("__kept_fp"))
     kept = docs.join(named.select("__kept_id"), docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
@@ -263,13 +268,13 @@ def keep_representatives(docs: DataFrame, radius: int = 4, shingle: int = 4) ->
     own = F.col("__fp")
     coded = nameless.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["__text_key"])
     only = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    marked = _with_fingerprint(coded, shingle).join(only, own == F.col("fingerprint"), "left_semi").dropDuplicates(["__fp"])
+    marked = _with_fingerprint(coded, code).join(only, own == F.col("fingerprint"), "left_semi").dropDuplicates(["__fp"])
     return kept.unionByName(marked.select(*docs.columns))
 
 
-def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
+def _with_fingerprint(docs: DataFrame, code: Callable[[str], str]) -> DataFrame:
     @F.pandas_udf("string")
     def of(texts):
-        return texts.map(lambda t: f"{fingerprint(t or '', shingle):016x}")
+        return texts.map(lambda t: code(t or ""))
 
     return docs.withColumn("__fp", of("text"))

@@ -1,6 +1,10 @@
 """The pipeline's stages against plain versions, each on its own input."""
 
 from collections import defaultdict
+from itertools import combinations
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fluxbar.llm import packing
@@ -41,3 +45,38 @@ def test_run_gives_the_stages_result(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_near_copies_of_a_similarity_of_0_8_go(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    texts = []
+    for size in rng.integers(60, 400, 25):
+        base = word(size)
+        texts.append(base)
+        for share in (0.01, 0.05, 0.1, 0.15, 0.3):  # of the words new in one run: similarities from about 0.97 to 0.5
+            n = max(1, int(size * share))
+            at = int(rng.integers(0, size - n))
+            texts.append(base[:at] + word(n) + base[at + n :])
+    hot = word(200)
+    texts += [[*hot, *word(int(rng.integers(1, 30)))] for _ in range(150)] + [["a", "b"], ["a", "b"], []]
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    rows += [(None, rows[0][1]), (None, "quite alone here"), (None, "quite alone here"), (rows[3][0], rows[3][1])]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows if i is not None}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for a, b in combinations(sets, 2):
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            near += 1
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    want = {find(i) for i in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set", F.lit("x")).withColumn("source", F.lit("s"))
+    kept = corpus_pipeline.dedup_near(spark, docs, SF).collect()
+    ids = [r.doc_id for r in kept]
+    assert near > 100 and ids.count(None) == 1 and len(ids) == len(set(ids)) and set(ids) - {None} == want
+    assert corpus_pipeline.dedup_near(spark, docs.limit(0), SF).count() == 0
