@@ -255,3 +255,12 @@ def test_robust_distance_isn_t_moved_by_outliers(spark):
     assert min(got[i] for i in range(380, 400)) > 8 > max(got[i] for i in range(380))
     assert np.corrcoef(plain, [got[i] for i in range(380)])[0, 1] > 0.99
     assert {r.distance for r in anomaly.robust_distance(df.limit(5), ["a", "b"]).collect()} == {None}
+
+
+def test_hourly_vectors_take_all_roots(spark):
+    from fluxbar.plans import market
+
+    sf = "/root/testdata/sf0.001"
+    wide, roots = market._wide(spark, sf)
+    assert roots == market.roots_of(spark, sf) and len(roots) > 3 and set(roots) < set(wide.columns)
+    assert wide.count() == sources.hourly(spark, sf).select("hour").distinct().count()
