@@ -110,3 +110,19 @@ def test_odd_tables(odd_documents, no_documents):
         assert find(no_documents).count() == 0
         empty = [r for r in find(odd_documents).collect() if r.doc_id in (2, 3)]
         assert {(r.spans, r.base_sha256) for r in empty} == {("", hashlib.sha256(b"").hexdigest())}
+
+
+def test_ibans_in_a_row_and_of_all_countries():
+    def iban(country, length):
+        bban = "0" * (length - 5) + "7"
+        turned = int("".join(str(int(c, 36)) for c in bban + country + "00"))
+        return f"{country}{98 - turned % 97:02}{bban}"
+
+    listed = "DE89370400440532013000 FR1420041010050500013M02606 GB29NWBK60161331926819"
+    spans = lambda t: [t[a:b] for a, b in pii._ibans(t)]
+    assert spans(listed) == listed.split()
+    assert spans("AB12 CD34 DE89 3704 0044 0532 0130 00") == ["DE89 3704 0044 0532 0130 00"]
+    known = ["AE070331234567890123456", "SA0380000000608010167519", "BR1800360305000010009795493C1", "IL620108000000099999999", "UA213223130000026007233566001", "NO9386011117947"]
+    assert spans(" ".join(known)) == known
+    every = [iban(c, n) for c, n in pii.IBAN_LENGTH.items()]
+    assert len(every) > 80 and spans(" ".join(every)) == every
