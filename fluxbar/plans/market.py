@@ -118,6 +118,30 @@ def o048(spark, sf_dir):
     return joins.asof(t, ends, "ts", ["root"], ["next_seq"], forward=True).select("seq", "next_seq")
 
 
+# o024_semi_join_days, o046_asof_backward and o048_asof_forward take parts of their tables, as their SQL does; these take the whole tables.
+@query("o024_semi_join_all_days", "SELECT event_id FROM events WHERE CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'signup')")
+def o024_all(spark, sf_dir):
+    e = s.table(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
+    return e.join(e.where("event_type = 'signup'").select("d").distinct(), "d", "left_semi").select("event_id")
+
+
+@query("o046_asof_backward_all", _sql(s.QUOTES_SQL, """SELECT t.seq, q.bid AS bid, q.ask AS ask FROM trades t
+  ASOF LEFT JOIN (SELECT root, ts + INTERVAL 1 SECOND AS ts, bid, ask FROM quotes QUALIFY row_number() OVER (PARTITION BY root, ts ORDER BY seq DESC) = 1) q ON t.root = q.root AND t.ts >= q.ts"""))
+def o046_all(spark, sf_dir):
+    t = s.trades(spark, sf_dir).select("root", "ts", "seq")
+    late = s.quotes(spark, sf_dir).withColumn("ts", F.expr("ts + interval 1 second"))
+    return joins.asof(t, late, "ts", ["root"], ["bid", "ask"], "seq").select("seq", "bid", "ask")
+
+
+@query("o048_asof_forward_bars", _sql(s.TRADES_SQL, """SELECT t.seq, b.seq AS next_seq FROM trades t
+  ASOF LEFT JOIN (SELECT root, ts, seq FROM trades QUALIFY row_number() OVER (PARTITION BY root, date_trunc('hour', ts) ORDER BY ts DESC, seq DESC) = 1) b ON t.root = b.root AND t.ts <= b.ts"""))
+def o048_bars(spark, sf_dir):
+    t = s.trades(spark, sf_dir).select("root", "ts", "seq")
+    last = F.max(F.struct("ts", "seq"))
+    ends = t.groupBy("root", F.date_trunc("hour", "ts").alias("hour")).agg(last.alias("end")).select("root", "end.ts", F.col("end.seq").alias("next_seq"))
+    return joins.asof(t, ends, "ts", ["root"], ["next_seq"], forward=True).select("seq", "next_seq")
+
+
 @query("o050_event_paths", _sql(s.HOURLY_SQL, """, p AS (SELECT *, ln(close) AS lp, row_number() OVER (PARTITION BY root ORDER BY hour) AS pos, ntile(1) OVER () AS one FROM hourly),
   e AS (SELECT root, pos, lp FROM p WHERE volume >= 12)
   SELECT CAST(v.pos - e.pos AS INT) AS rel, count(*) AS n, round(avg(v.lp - e.lp), 6) AS mean_path FROM e JOIN p v ON v.root = e.root AND v.pos BETWEEN e.pos - 3 AND e.pos + 5 GROUP BY 1""".lstrip(", ")).replace("FROM trades GROUP BY 1, 2)\np AS", "FROM trades GROUP BY 1, 2),\np AS"))
