@@ -83,14 +83,14 @@ def value_boundaries(trades: DataFrame, threshold: float, order: list[str], valu
 
 
 def assign_bars(trades: DataFrame, boundaries: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """trades with the bar_id of the bar that holds each: the first boundary at or after it, by a running first value."""
+    """trades with the bar_id of the bar that holds each: the first boundary at or after it, by a running last value from the end backwards."""
     keys = keys or []
     at = F.struct(*[F.col(f"last_{c}").alias(c) for c in order])
     ends = boundaries.select(*keys, at.alias("__at"), F.col("bar_id").alias("__bar"), F.lit(1).alias("__end"))
     t = trades.withColumn("__at", F.struct(*order)).withColumn("__bar", F.lit(None).cast("long")).withColumn("__end", F.lit(0))
     both = t.unionByName(ends, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__at", "__end").rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("bar_id", F.first("__bar", ignorenulls=True).over(w)).where("__end = 0").drop("__at", "__bar", "__end")
+    w = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__end")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("bar_id", F.last("__bar", ignorenulls=True).over(w)).where("__end = 0").drop("__at", "__bar", "__end")
 
 
 def bar_records(assigned: DataFrame, roots: list[str]) -> DataFrame:
