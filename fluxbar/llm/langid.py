@@ -112,8 +112,10 @@ def fit(docs: DataFrame, sample_per_lang: int = 2000, grams_per_lang: int = 4000
     rows = rows.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count()
     picked = rows.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang")
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    picked = picked.where(place * F.col("count") < sample_per_lang).select("lang", "text")
+    # The place hashes the text too, so that rows without or with repeated ids part; rows alike in both are one document of the sample.
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
+    picked = picked.withColumn("place", place).where(F.col("place") * F.col("count") < sample_per_lang)
+    picked = picked.groupBy("lang", "place").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batch):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The four base kinds: leftmost matches without overlap within a kind, those that fail their check dropped."""
     out = [("email", a, b) for a, b in _emails(text)]
     if re.search("[0-9]", text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))]
         out += [("card", *m.span()) for m in _CARD.finditer(text) if m.end() - m.start() > 12 and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
         if "+" in text:
             out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
@@ -140,11 +141,18 @@ def find_spans(text: str, threshold: float = 0.6) -> tuple[list[tuple[str, int,
     """Base spans, and all spans with scores: the base ones always, others from `threshold` on where no base span is."""
     base = base_spans(text)
     every = [(*s, score(text, *s)) for s in base]
-    taken = sorted((a, b) for _, a, b in base)
+    # Disjoint stretches in order: what the spans so far cover.
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
     for kind, a, b in _more(text):
-        if not any(x < b and a < y for x, y in taken) and (value := score(text, kind, a, b)) >= threshold:
+        before = bisect_left(taken, (b, -1)) - 1
+        if (before < 0 or taken[before][1] <= a) and (value := score(text, kind, a, b)) >= threshold:
             every.append((kind, a, b, value))
-            taken.append((a, b))
+            insort(taken, (a, b))
     return base, sorted(every, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -7,6 +7,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
@@ -19,7 +20,10 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']? *[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_HEADER = re.compile(r"[ \t]*([A-Za-z0-9-]+):[ \t]*(.*)")
+#: Characters of the initial vector, in hex, and bytes of a block by the cipher's first word in DEK-Info.
+_CIPHERS = {"DES": (16, 8), "AES": (32, 16), "CAMELLIA": (32, 16), "RC2": (16, 8), "BF": (16, 8), "IDEA": (16, 8), "CAST5": (16, 8), "SEED": (32, 16)}
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HINT = re.compile(r"(?i)password|passwd|secret|token|api_?key")
 
@@ -68,19 +72,71 @@ def is_der(data: bytes | None) -> bool:
 
 
 def is_ssh(data: bytes | None) -> bool:
-    """The private-key container's magic, or length-prefixed fields that fill the data and begin with a key type."""
+    """A private-key container or a public key, whose nested lengths all add up."""
     if not data:
         return False
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+    if data.startswith(_MAGIC):
+        return _is_container(data[len(_MAGIC) :])
+    fields = _fields(data)
+    return bool(fields) and len(fields) >= 2 and fields[0].startswith(_KEY_TYPES)
+
+
+_MAGIC, _KEY_TYPES = b"openssh-key-v1\0", (b"ssh-", b"ecdsa-sha2-", b"sk-")
+
+
+def _fields(data: bytes, most: int | None = None) -> list[bytes] | None:
+    """The length-prefixed fields that fill the data (with most: the first so many, then the rest as it is); None if a length runs out of it."""
+    at, out = 0, []
+    while at < len(data) and (most is None or len(out) < most):
         size = int.from_bytes(data[at : at + 4], "big")
-        if size > len(data) - at - 4:
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
+        if at + 4 + size > len(data):
+            return None
+        out.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
+    return out if most is None else [*out, data[at:]] if len(out) == most else None
+
+
+def _is_container(body: bytes) -> bool:
+    """Cipher, derivation and its options, the number of keys, so many public keys of a known type, and a private part in whole blocks."""
+    head = _fields(body, 3)
+    if not head or len(head[3]) < 4:
+        return False
+    n = int.from_bytes(head[3][:4], "big")
+    keys = _fields(head[3][4:]) if 1 <= n <= 64 else None
+    if not keys or len(keys) != n + 1 or not keys[n] or len(keys[n]) % 8:
+        return False
+    if head[0] == b"none" and keys[n][:4] != keys[n][4:8]:
+        return False
+    public = [_fields(k) for k in keys[:n]]
+    return all(f and len(f) >= 2 and f[0].startswith(_KEY_TYPES) for f in public)
+
+
+def armoured(text: str):
+    """(start, end, body) of each private key between its BEGIN and the next END, if both name it alike."""
+    begun = None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        elif begun is not None:
+            if begun[2] == m[2]:
+                yield begun.start(), m.end(), text[begun.end() : m.start()]
+            begun = None
+
+
+def is_private_key(body: str) -> bool:
+    """The base64 after the headers, if any, is DER or a container; one that its headers call encrypted is whole blocks of the cipher they name."""
+    headers, code, lines = {}, [], body.replace("\r\n", "\n").strip().split("\n")
+    for line in lines:
+        if not code and (m := _HEADER.fullmatch(line)):
+            headers[m[1].lower()] = m[2].strip()
+        else:
+            code.append(line)
+    data = decode64("".join(code))
+    if headers.get("proc-type", "").upper().replace(" ", "").endswith(",ENCRYPTED"):
+        cipher, _, vector = headers.get("dek-info", "").partition(",")
+        size, block = _CIPHERS.get(cipher.strip().split("-")[0].upper(), (0, 1))
+        return bool(data) and size > 0 and bool(re.fullmatch(f"[0-9A-Fa-f]{{{size}}}", vector.strip())) and len(data) % block == 0
+    return is_der(data) or is_ssh(data)
 
 
 def is_token(run: str) -> bool:
@@ -110,16 +166,15 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token(m.group())]
-    covered: list[tuple[int, int]] = []
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            data = decode64(m[2].rpartition("\n\n")[2])
-            if is_der(data) or is_ssh(data):
-                out.append(("pem", *m.span()))
-                covered.append(m.span())
-    covered += [(a, b) for _, a, b in out]
+        for start, end, body in armoured(text):
+            if is_private_key(body):
+                out.append(("pem", start, end))
+    covered = sorted((a, b) for _, a, b in out)
     for m in _BASE64.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in covered):
+        # Confirmed spans don't overlap: only the last that begins before this one ends can meet it.
+        before = bisect_left(covered, (m.end(), -1)) - 1
+        if before < 0 or covered[before][1] <= m.start():
             run = m.group()
             data = decode64(run)
             if data and not data[:1] == b"\x30" and re.fullmatch("[0-9A-Fa-f]+", run) and len(run) % 2 == 0:

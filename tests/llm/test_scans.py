@@ -126,3 +126,47 @@ def test_ibans_in_a_row_and_of_all_countries():
     assert spans(" ".join(known)) == known
     every = [iban(c, n) for c, n in pii.IBAN_LENGTH.items()]
     assert len(every) > 80 and spans(" ".join(every)) == every
+
+
+def test_long_zeros_and_many_added_spans():
+    text = "0" * 5000 + "1.2.3.4 and " + "0" * 6000 + ".1.1.1 " + "9" * 5000 + ".1.1.1"
+    assert [k for k, *_ in pii.base_spans(text)] == ["ip", "ip"]
+    ssn = "social security 123-45-6789, a@b.co "
+    base, every = pii.find_spans(ssn * 5000)
+    assert len(base) == 5000 and sum(k == "ssn" for k, *_ in every) == 5000
+
+
+def test_added_spans_keep_off_taken_ones():
+    text = "call +1 212 555 0100 or 212 555 0100, account 021000021@bank.example, bank routing 021000021"
+    base, every = pii.find_spans(text)
+    spans = [(a, b) for _, a, b, _ in every]
+    for kind, a, b in pii._more(text):
+        free = not any(x < b and a < y for _, x, y in base)
+        assert ((a, b) in spans) == (free and pii.score(text, kind, a, b) >= 0.6)
+
+
+def ssh_container(cipher=b"none", check=b"\1\2\3\4\1\2\3\4", extra=b""):
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    private = check + bytes(24)
+    return b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(private) + extra
+
+
+def test_key_armour():
+    code = lambda x: "\n".join(re.findall(".{1,64}", base64.b64encode(x).decode()))
+    kinds = lambda t: [k for k, *_ in secret_scan.confirmed_spans(t)]
+    armour = lambda body, kind="RSA PRIVATE KEY": f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    locked = armour(head + code(bytes(range(160))))
+    assert kinds(locked) == ["pem"] and kinds(locked.replace("\n", "\r\n")) == ["pem"]
+    assert kinds(armour(head + code(bytes(range(150))))) == []  # no whole blocks
+    assert kinds(armour(head.replace("AES-128-CBC", "ROT-13") + code(bytes(range(160))))) == []
+    assert kinds(armour(head.replace("FF\n", "\n") + code(bytes(range(160))))) == []  # the vector is short
+    plain = armour("Comment: mine\n\n" + code(der(0x30, der(2, bytes(range(1, 100))))))
+    assert kinds(plain) == ["pem"] and kinds(plain.replace("\n", "\r\n")) == ["pem"]
+    assert kinds(plain.replace("END RSA", "END EC")) == []
+    kind = "OPENSSH PRIVATE KEY"
+    assert kinds(armour(code(ssh_container()), kind)) == ["pem"]
+    assert kinds(armour(code(b"openssh-key-v1\0 and no more of it, but long enough"), kind)) == []
+    assert kinds(armour(code(ssh_container(check=b"\1\2\3\4\5\6\7\x08")), kind)) == [] and kinds(armour(code(ssh_container(extra=b"x" * 9)), kind)) == []
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" * 3 + locked) == ["pem"]

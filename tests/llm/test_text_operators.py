@@ -47,6 +47,67 @@ def test_language_odd_tables(odd_documents, no_documents):
     assert kept.schema == odd_documents.schema and not {2, 3, 6, 7} & {r.doc_id for r in kept.collect()}
 
 
+def plain_trigrams(text):
+    low = text.lower()
+    padded = " " + "".join(c if c.isalpha() else " " for c in low) + " "
+    return [padded[i : i + 3] for i in range(len(low)) if padded[i + 1] != " "]
+
+
+def test_language_matches_the_definition(documents):
+    """The same filter from sets and whole numbers, one trigram at a time."""
+    rows = documents.select("doc_id", "text", "lang").collect()
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+    counts = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        if not held(r) and r.lang is not None and r.text is not None:
+            for g in plain_trigrams(r.text):
+                counts[r.lang][g] += 1
+    share = {}
+    for lang, own in counts.items():
+        total = sum(own.values())
+        own = {g: n for g, n in own.items() if n >= total * 1e-5}
+        share[lang] = {g: n / sum(own.values()) for g, n in own.items()}
+    most = defaultdict(float)
+    for own in share.values():
+        for g, x in own.items():
+            most[g] = max(most[g], x)
+    code = lambda g: sum((32 if c == " " else ord(c)) << s for c, s in zip(g, (42, 21, 0), strict=True))
+    langs, slots = sorted(share), 1 << 18
+
+    def place(c, k):
+        x = (c + k) * 0x9E3779B97F4A7C15 % 2**64
+        x ^= x >> 29
+        return (x * (0xBF58476D1CE4E5B9 + 2 * k) % 2**64) >> 46
+
+    bits = {}
+    for lang in langs:
+        kept = sorted((-n, code(g)) for g, n in share[lang].items() if n >= 0.2 * most[g])[:4000]
+        bits[lang] = {place(c, k) for _, c in kept for k in (0, 1)}
+    want = {}
+    for r in rows:
+        grams = [code(g) for g in plain_trigrams(r.text or "")]
+        part = {}
+        for lang in langs:
+            wrong = (len(bits[lang]) / slots) ** 2
+            raw = sum(place(c, 0) in bits[lang] and place(c, 1) in bits[lang] for c in grams) / max(1, len(grams))
+            part[lang] = max(0, (raw - wrong) / (1 - wrong))
+        best = max(langs, key=lambda x: (part[x], [-ord(c) for c in x]))
+        want[r.doc_id] = ("und", 0.0) if not grams else (best, part[best] / sum(part.values()) if sum(part.values()) else 0.0)
+    found = langid.identify_languages(documents).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-9) and r.held_out == held(r)
+
+
+def test_the_sample_is_bounded_without_ids(spark, monkeypatch):
+    rows = [(None, f"some words of number {i}", "en") for i in range(3000)] + [(None, "all the same", "en")] * 3000 + [(7, f"zwei worte {i}", "de") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, real = [], langid.map_batches
+    monkeypatch.setattr(langid, "map_batches", lambda df, fn, schema: seen.append(df.count()) or real(df, fn, schema))
+    model = langid.fit(df, sample_per_lang=200)
+    assert model.langs == ("de", "en") and seen[0] <= 500
+
+
 # SimHash
 
 
