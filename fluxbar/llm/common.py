@@ -49,6 +49,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bound of the keys broadcast at once.
+HOT_KEYS = 5_000
+
+
+def hot_limit(rows: int) -> int:
+    """Keys with more rows than this are hot. There are HOT_KEYS of them at most."""
+    return max(64, rows // HOT_KEYS)
+
+
+def join_to_few(many: DataFrame, one: DataFrame, key: str, size: str, rows: int) -> DataFrame:
+    """many joined to the rows of `one` (key is unique there, column `size` tells how many rows of many it has, `rows` how many they are in all).
+
+    Hot keys' rows of `one` are broadcast, so that no task gets all rows of such a key; the others are joined by key.
+    """
+    limit = hot_limit(rows)
+    names = [c for c in one.columns if c not in (key, size)]
+    hot = one.where(F.col(size) > limit).select(F.col(key).alias("__key"), F.lit(True).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in names])
+    cold = one.where(F.col(size) <= limit).select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in names])
+    columns = [*[F.col(c) for c in many.columns], *[F.col(f"__{c}").alias(c) for c in names]]
+    tagged = many.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left")
+    done = tagged.where("__hot").select(*columns)
+    rest = tagged.where("__hot is null").select(*many.columns)
+    return done.unionByName(rest.join(cold, F.col(key) == F.col("__key")).select(*columns))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: T.StructType) -> DataFrame:
     """mapInArrow where fn yields dicts of columns; batches are cut so that texts stay within some MB."""
     arrow = to_arrow_schema(schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxbar.llm.common import give_back, id_and_text, map_batches, materialize, struct
+from fluxbar.llm.common import give_back, id_and_text, join_to_few, map_batches, materialize, struct
 
 SEED = 42
 
@@ -42,69 +42,103 @@ def fingerprint(text: str, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for each row of docs; fp is the fingerprint as a signed 64-bit number."""
+    """(doc_id, body, fp) for each row of docs; body is the text's hash, fp the fingerprint as a signed 64-bit number."""
 
     def run(batch):
         fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-        yield {"doc_id": batch.column(0), "fp": np.array(fps, np.uint64).astype(np.int64)}
+        yield {"doc_id": batch.column(0), "body": batch.column(2), "fp": np.array(fps, np.uint64).astype(np.int64)}
 
-    return map_batches(id_and_text(docs), run, struct("doc_id long, fp long"))
+    return map_batches(id_and_text(docs).withColumn("body", F.xxhash64("text")), run, struct("doc_id long, body long, fp long"))
 
 
-class BKTree:
-    """Children keyed by integer Hamming distance to the parent; up to `leaf` items stay in a bucket.
+class BKForest:
+    """BK-trees of many shards at once: every item is a node, its children are keyed by their integer Hamming distance to it.
 
-    A search takes many queries at once and, at each node, follows an edge d with
-    those whose distance to the node is within the radius of d.
+    Trees grow level by level: the first item of a group becomes its node, and the
+    others part by their distance to it. A search holds pairs of a query and a node;
+    from each it follows only the edges within the radius of the query's distance.
     """
 
-    def __init__(self, items: np.ndarray, leaf: int = 32):
-        self.items, self.root = items, None
-        todo = [(np.arange(len(items)), None, 0)]
+    def __init__(self, items: np.ndarray, shard: np.ndarray):
+        """items: distinct fingerprints within a shard, a row of 64-bit words each; shard: their shards in ascending order."""
+        n = len(items)
+        self.items, self.span = items, 64 * items.shape[1] + 1
+        parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        live, group = np.arange(n), shard
+        self.roots: dict[int, int] = {}
+        above, by = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        self.levels = 0
+        while len(live):
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            node = live[first]
+            if not self.levels:
+                self.roots = dict(zip(shard[node].tolist(), node.tolist(), strict=True))
+            parent[node], edge[node] = above[first], by[first]
+            head = np.repeat(node, np.diff(np.append(first, len(live))))
+            rest = np.ones(len(live), bool)
+            rest[first] = False
+            live, head = live[rest], head[rest]
+            d = distances(items[live], items[head])
+            group = head * self.span + d
+            order = np.argsort(group, kind="stable")
+            live, group, above, by = live[order], group[order], head[order], d[order]
+            self.levels += 1
+        inner = np.flatnonzero(parent >= 0)
+        key = parent[inner] * self.span + edge[inner]
+        order = np.argsort(key, kind="stable")
+        self._key, self._child = key[order], inner[order]
+
+    def search(self, queries: np.ndarray, roots: np.ndarray, radius: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, item, distance) of what lies within the radius, part by part; roots: where each query begins, below 0 for nowhere."""
+        self.visited = 0
+        at = np.flatnonzero(roots >= 0)
+        todo = [(at[a : a + most], roots[at[a : a + most]]) for a in range(0, len(at), most)]
         while todo:
-            at, parent, key = todo.pop()
-            if len(at) <= leaf:
-                node = (None, at, {})
-            else:
-                node = (int(at[0]), at[:0], {})
-                d = np.bitwise_count(items[at[1:]] ^ items[at[0]])
-                order = np.argsort(d, kind="stable")
-                edges, first = np.unique(d[order], return_index=True)
-                todo += [(part, node, int(e)) for e, part in zip(edges, np.split(at[1:][order], first[1:]), strict=True)]
-            if parent is None:
-                self.root = node
-            else:
-                parent[2][key] = node
-
-    def search(self, queries: np.ndarray, radius: int):
-        """(item, queries within the radius of it), both as positions, for every item that has any."""
-        todo = [(self.root, np.arange(len(queries)))]
-        while todo:
-            (vantage, bucket, children), at = todo.pop()
-            for i in bucket:
-                near = at[np.bitwise_count(queries[at] ^ self.items[i]) <= radius]
-                if len(near):
-                    yield int(i), near
-            if vantage is not None:
-                d = np.bitwise_count(queries[at] ^ self.items[vantage]).astype(np.int64)
-                if len(near := at[d <= radius]):
-                    yield vantage, near
-                for edge, child in children.items():
-                    if len(down := at[np.abs(d - edge) <= radius]):
-                        todo.append((child, down))
-
-
-def shard_links(tree: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what the tree's and the other fingerprints within the radius connect; fewer than there are fingerprints."""
-    every = np.concatenate([tree, others])
-    label, links = np.arange(len(every)), []
-    for i, near in BKTree(tree).search(every, radius):
-        found = np.unique(label[near])
-        own = label[i]
-        for other in found[found != own]:
-            links.append((int(every[own]), int(every[other])))
-        label[np.isin(label, found)] = own
-    return links
+            q, node = todo.pop()
+            if len(q) > most:
+                todo += [(q[a : a + most], node[a : a + most]) for a in range(0, len(q), most)]
+                continue
+            self.visited += len(q)
+            d = distances(queries[q], self.items[node])
+            near = d <= radius
+            if near.any():
+                yield q[near], node[near], d[near]
+            low = np.searchsorted(self._key, node * self.span + np.maximum(d - radius, 0))
+            high = np.searchsorted(self._key, node * self.span + np.minimum(d + radius, self.span - 1), "right")
+            n = high - low
+            ends = np.cumsum(n)
+            if len(ends) and ends[-1]:
+                todo.append((np.repeat(q, n), self._child[np.repeat(low - ends + n, n) + np.arange(ends[-1])]))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give the items that the links a - b connect one label, the smallest; label[i] <= i is the smallest item known to be connected with i."""
+    while True:
+        one, two = label[a], label[b]
+        apart = one != two
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
+        while not np.array_equal(label, up := label[label]):
+            label[:] = up
+
+
+def shard_links(items: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (item, item) of links that connect what all links between the trees and all items connect; fewer than there are items."""
+    tree = np.flatnonzero(in_tree)
+    label = np.arange(len(items))
+    if len(tree):
+        forest = BKForest(items[tree], shard[tree])
+        root = np.fromiter((forest.roots.get(x, -1) for x in shard.tolist()), np.int64, len(shard))
+        for q, i, _ in forest.search(items, root, radius):
+            merge(label, q, tree[i])
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
 
 
 def band_keys(fp: Column, blocks: int, radius: int) -> Column:
@@ -121,112 +155,148 @@ def band_keys(fp: Column, blocks: int, radius: int) -> Column:
     return F.array(*keys)
 
 
+def words_of(column: pa.Array) -> np.ndarray:
+    """A row of unsigned 64-bit words for each fingerprint: a whole number is one, a binary of 8 bytes a word several."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).astype(np.uint64).reshape(-1, 1)
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, np.uint64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint64)
+
+
+def groups_of(batches, keys: int, most: int, close):
+    """close(table, cut) for each run of rows in order of their first `keys` columns: whole groups together until they have about `most` rows.
+
+    cut: whether the table's last group goes on; it then begins the next table too
+    with its rows of role 0 (the column after the keys), which come first.
+    """
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def parted(final: bool):
+        nonlocal held, n
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = [table.column(k).to_numpy() for k in range(keys)]
+        change = np.zeros(len(table) - 1, bool)
+        for k in key:
+            change |= k[1:] != k[:-1]
+        last = 0 if final or not change.any() else int(np.flatnonzero(change)[-1]) + 1
+        if final:
+            yield from close(table)
+            held, n = [], 0
+        elif last:
+            yield from close(table.slice(0, last))
+            held = table.slice(last).to_batches()
+            n = len(table) - last
+        else:
+            # One group alone: what is asked of its tree goes now, the tree stays.
+            role = table.column(keys).to_numpy()
+            if (role == 1).sum() >= most // 2:
+                yield from close(table)
+                held = table.filter(pa.array(role == 0)).to_batches()
+                n = int((role == 0).sum())
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield from parted(False)
+    if held:
+        yield from parted(True)
+
+
+def dealt_shards(keyed: DataFrame, most: int, pivots: int | None = None) -> DataFrame:
+    """keyed (key, fp, ...) with tree and role, without shards of one row.
+
+    A shard of more than `most` rows is dealt over several trees (role 0), each of
+    which is asked for all of the shard (role 1): none is left out. With `pivots` a
+    tree is only asked for about so many of them, the same for all.
+    """
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(sizes.select(F.col("key").alias("s_key"), "n"), "shards")
+    trees = F.ceil(F.col("n") / most).cast("int")
+    if sizes.where(F.col("n") > most).isEmpty():
+        joined = keyed.join(sizes, F.col("key") == F.col("s_key"), "left_semi")
+        return joined.select("key", F.lit(0).alias("tree"), F.lit(0).alias("role"), *[c for c in keyed.columns if c != "key"])
+    total = sizes.agg(F.sum("n")).first()[0]
+    sizes = sizes.withColumnRenamed("s_key", "key").withColumn("trees", trees)
+    joined = join_to_few(keyed, sizes, "key", "n", total).withColumn("own", F.pmod(F.xxhash64("fp"), "trees").cast("int"))
+    every = F.sequence(F.lit(0), F.col("trees") - 1)
+    asked = every if pivots is None else F.when((F.col("trees") == 1) | (F.pmod(F.xxhash64(F.lit(1), "fp"), F.ceil(F.col("n") / pivots)) == 0), every).otherwise(F.array("own"))
+    each = joined.withColumn("tree", F.explode(asked))
+    return each.select("key", "tree", (F.col("tree") != F.col("own")).cast("int").alias("role"), *[c for c in keyed.columns if c != "key"])
+
+
 def links(distinct: DataFrame, radius: int = 4, most: int = 20_000) -> DataFrame:
     """(a, b): links enough to connect all fingerprints of `distinct` (column fp) within the radius.
 
-    A shard is what shares a band key, and its BK-tree is built where its rows
-    are. A shard of more than `most` fingerprints is dealt over several trees,
-    each of which is asked for all of the shard: none is left out.
+    A shard is what shares a band key; its BK-tree is built where its rows are and
+    gives the links. No two fingerprints within the radius miss each other: they
+    share a shard.
     """
     n = distinct.count()
     blocks = radius + 2 if n < 1 << 22 else radius + 3 if n < 1 << 28 else radius + 4
-    keyed = distinct.select("fp", F.explode(band_keys(F.col("fp"), blocks, radius)).alias("key"))
-    sizes = keyed.groupBy("key").count().where(F.col("count") > 1)
-    large = materialize(sizes.where(F.col("count") > most).withColumn("trees", F.ceil(F.col("count") / most).cast("int")).drop("count"), "large-shards")
-    if large.isEmpty():
-        rows = keyed.select("key", F.lit(0).alias("tree"), F.lit(0).alias("role"), "fp")
-    else:
-        joined = keyed.join(large, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("trees", F.lit(1))).cast("int"))
-        each = joined.withColumn("tree", F.explode(F.sequence(F.lit(0), F.coalesce("trees", F.lit(1)) - 1)))
-        rows = each.select("key", "tree", (F.col("tree") != F.col("own")).cast("int").alias("role"), "fp")
+    keyed = distinct.select(F.explode(band_keys(F.col("fp"), blocks, radius)).alias("key"), "fp")
+
+    def close(table: pa.Table):
+        key, tree, role = (table.column(k).to_numpy() for k in range(3))
+        fp = table.column(3).combine_chunks()
+        shard = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])]))
+        a, b = shard_links(words_of(fp), shard, role == 0, radius)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([fp.take(pa.array(a)), fp.take(pa.array(b))], names=["a", "b"])
 
     def run(batches):
-        tree, others, at = [], [], None
-
-        def close(flush_tree: bool):
-            nonlocal tree, others
-            out = []
-            if tree and sum(map(len, tree)) + sum(map(len, others)) > 1:
-                out = shard_links(np.concatenate(tree), np.concatenate(others) if others else np.zeros(0, np.uint64), radius)
-            others = []
-            if flush_tree:
-                tree = []
-            if out:
-                a, b = (np.array(x, np.uint64).astype(np.int64) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        for batch in batches:
-            key, t, role, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            fp = fp.astype(np.uint64)
-            if not len(key):
-                continue
-            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(t) != 0)) + 1
-            edge = np.concatenate([[0], cut, [len(key)]])
-            size = np.diff(edge)
-            # Shards of two and more that lie within the batch and need but a bucket are compared at once, shift by shift.
-            inner = np.zeros(len(size), bool)
-            inner[1:-1] = (size[1:-1] > 1) & (size[1:-1] <= 32)
-            small = np.repeat(inner, size)
-            a, b = small_links(np.repeat(np.arange(len(size)), size)[small], fp[small], radius)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            for k in np.flatnonzero(~inner & ((size > 1) | (np.arange(len(size)) == 0) | (np.arange(len(size)) == len(size) - 1))):
-                here = (key[edge[k]], t[edge[k]])
-                if here != at:
-                    yield from close(True)
-                    at = here
-                part, of = fp[edge[k] : edge[k + 1]], role[edge[k] : edge[k + 1]]
-                if (of == 0).any():
-                    tree.append(part[of == 0])
-                if (of == 1).any():
-                    others.append(part[of == 1])
-                    if sum(map(len, others)) >= most:
-                        yield from close(False)
-        yield from close(True)
+        yield from groups_of(batches, 2, 100_000, close)
         give_back()
 
-    dealt = rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "role")
+    dealt = dealt_shards(keyed, most).repartition("key", "tree").sortWithinPartitions("key", "tree", "role")
     return dealt.mapInArrow(run, struct("a long, b long")).distinct()
 
 
-def small_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links within groups of a bucket's size at most; group: ascending numbers."""
-    found_a, found_b = [], []
-    for shift in range(1, 32):
-        same = np.flatnonzero(group[shift:] == group[:-shift]) if len(group) > shift else group[:0]
-        if not len(same):
-            break
-        near = same[np.bitwise_count(fp[same] ^ fp[same + shift]) <= radius]
-        found_a.append(fp[near].astype(np.int64))
-        found_b.append(fp[near + shift].astype(np.int64))
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node of its component.
 
     Alternating large-star and small-star rounds: each links a node's neighbours to
-    the smallest of them, until only stars are left. All rows stay distributed.
+    the smallest of them, until only stars are left. All rows stay distributed; a
+    hub's smallest neighbour is broadcast, so its links need not meet in one task.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     last = None
+    n = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "m", "u")
-        small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_to_few(both, least, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u <> v").distinct(), "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_to_few(large, least, "u", "n", n).select(F.col("v").alias("x"), "m", "u")
+        small = small.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = materialize(small.where("u <> v").distinct(), "links")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        n = state[0]
         if state == last:
             break
         last = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select("v", F.col("v").alias("root")).distinct().withColumnRenamed("v", "node"))
+
+
+def _first() -> Column:
+    """The row that stands for a group: the smallest doc_id (null last), then the text's hash."""
+    return F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "body"))
+
+
+def grouped(fps: DataFrame, link: Callable[[DataFrame], DataFrame], *more: Column) -> DataFrame:
+    """(doc_id, body, fp, first) of each row of fps (doc_id, body, fp); first stands for all rows whose fp its links reach.
+
+    link gives the links (a, b) of the distinct fps, which come with their first row and `more` aggregates.
+    """
+    distinct = materialize(fps.groupBy("fp").agg(_first().alias("first"), F.count(F.lit(1)).alias("n"), *more), "distinct-fingerprints")
+    roots = components(link(distinct)).withColumnRenamed("node", "r_fp")
+    rooted = materialize(distinct.join(roots, F.col("fp") == F.col("r_fp"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
+    several = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members"))
+    named = join_to_few(rooted.drop("first"), several, "root", "members", rooted.count()).select("fp", "n", F.col("least").alias("first"))
+    return join_to_few(fps.select("doc_id", "body", "fp"), materialize(named, "components"), "fp", "n", fps.count())
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -239,42 +309,25 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     Repeated rows give repeated results; other columns are ignored.
     """
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    named = materialize(named, "components").withColumnRenamed("fp", "c_fp")
-    each = distinct.join(named, distinct["fp"] == named["c_fp"], "left").select(F.col("fp").alias("d_fp"), F.coalesce("component_id", "first").alias("component_id"))
-    joined = fps.join(each, fps["fp"] == each["d_fp"])
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = grouped(fps, lambda distinct: links(distinct.select("fp"), radius))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of docs that stay, all columns as they are: of each group the one with the smallest doc_id.
+    """The rows of docs that stay, all columns as they are: of each group of linked fingerprints one (see keep_first)."""
+    fps = materialize(fingerprints(docs, shingle), "fingerprints")
+    return keep_first(docs, grouped(fps, lambda distinct: links(distinct.select("fp"), radius)))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their group in found (first): the smallest doc_id, null last, then the text's hash.
 
-    Of rows that repeat a doc_id one stays. A group without any doc_id keeps one row.
+    Different texts that share a doc_id, or have none, are different documents. Of
+    rows that repeat both doc_id and text the one with the smallest hash of all its
+    columns stays, so a task that runs again keeps the same.
     """
-    return keep_groups(docs, near_duplicates(docs, radius, shingle), lambda t: f"{fingerprint(t, shingle):016x}")
-
-
-def keep_groups(docs: DataFrame, found: DataFrame, code: Callable[[str], str]) -> DataFrame:
-    """keep_representatives for the groups in found (doc_id, fingerprint, component_id); code gives a text's fingerprint."""
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), F.col("fingerprint").alias("__kept_fp")).distinct()
-    named = keep.where("__kept_id is not null").groupBy("__kept_id").agg(F.min("__kept_fp").alias("__kept_fp"))
-    kept = docs.join(named.select("__kept_id"), docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    if keep.where("__kept_id is null").isEmpty():
-        return kept
-    nameless = docs.where("doc_id is null")
-    own = F.col("__fp")
-    coded = nameless.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["__text_key"])
-    only = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    marked = _with_fingerprint(coded, code).join(only, own == F.col("fingerprint"), "left_semi").dropDuplicates(["__fp"])
-    return kept.unionByName(marked.select(*docs.columns))
-
-
-def _with_fingerprint(docs: DataFrame, code: Callable[[str], str]) -> DataFrame:
-    @F.pandas_udf("string")
-    def of(texts):
-        return texts.map(lambda t: code(t or ""))
-
-    return docs.withColumn("__fp", of("text"))
+    keep = found.select("first.doc_id", "first.body").distinct().select(F.col("doc_id").alias("__kept_id"), F.col("body").alias("__kept_body"))
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__body", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = own.join(keep, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__body") == F.col("__kept_body")), "left_semi")
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+    return kept.groupBy("__id", "__body").agg(row.alias("__row")).select("__row.*")

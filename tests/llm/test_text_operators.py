@@ -172,11 +172,37 @@ def test_links_connect_what_all_pairs_connect(spark, most):
     assert {x: found.get(x, x) for x in signed} == {x: want[x % 2**64] for x in signed}
 
 
-def test_tree_finds_all_within_the_radius():
+def test_trees_find_all_within_the_radius_and_follow_only_its_edges():
     rng = np.random.default_rng(1)
-    items = np.unique(rng.integers(0, 1 << 12, 900).astype(np.uint64))
-    found = {(i, int(q)) for i, near in simhash.BKTree(items, leaf=4).search(items, 3) for q in near}
-    assert found == {(i, q) for i in range(len(items)) for q in range(len(items)) if int(items[i] ^ items[q]).bit_count() <= 3}
+    for words, radius in ((1, 3), (3, 7)):
+        items = rng.integers(0, 1 << 63, (900, words)).astype(np.uint64)
+        items[1::2] = items[::2] ^ (np.uint64(1) << rng.integers(0, 63, (450, words)).astype(np.uint64))
+        shard = np.sort(rng.integers(0, 3, 900))
+        forest = simhash.BKForest(items, shard)
+        roots = np.array([forest.roots[s] for s in shard.tolist()])
+        found = {(int(a), int(b)): int(d) for q, i, near in forest.search(items, roots, radius, most=500) for a, b, d in zip(q, i, near, strict=True)}
+        want = {}
+        for a in range(900):
+            for b in np.flatnonzero(shard == shard[a]).tolist():
+                d = sum(int(x ^ y).bit_count() for x, y in zip(items[a], items[b], strict=True))
+                if d <= radius:
+                    want[a, b] = d
+        every = sum(int((shard == s).sum()) ** 2 for s in range(3))
+        assert found == want and len(want) > 900 and forest.visited < 0.9 * every and forest.levels > 3
+
+
+def test_hubs_are_joined_with_all_their_links(spark):
+    hub = [(0, i) for i in range(1, 3000)] + [(i, i + 10_000) for i in range(1, 3000, 7)] + [(50_000, 50_001), (50_001, 50_002)]
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(hub, "a long, b long")).collect()}
+    assert found == {**{x: 0 for e in hub[:-2] for x in e}, **dict.fromkeys((50_000, 50_001, 50_002), 50_000)}
+
+
+def test_different_texts_with_one_id_stay(spark):
+    near = " ".join(f"w{i}" for i in range(300))
+    rows = [(7, "one text about a river", "x"), (7, "another thing altogether here", "y"), (7, "another thing altogether here", "z"), (None, "no id but words", "u"), (None, "no id either and others", "v"), (1, near, "a"), (2, near, "b"), (None, near, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted((r.text, r.doc_id) for r in simhash.keep_representatives(docs).collect())
+    assert [t for t, _ in kept] == sorted({t for _, t, _ in rows}) and (near, 1) in kept
 
 
 def test_near_duplicates_odd_tables(odd_documents, no_documents):
@@ -188,6 +214,7 @@ def test_near_duplicates_odd_tables(odd_documents, no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
     kept = simhash.keep_representatives(odd_documents)
     assert kept.columns == odd_documents.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted(set(want.values()), key=str)
+    assert {(r.doc_id, r.n_chars) for r in kept.collect()} == {(r.doc_id, r.n_chars) for r in simhash.keep_representatives(odd_documents.repartition(3)).collect()}
     nameless = simhash.keep_representatives(odd_documents.where("doc_id is null"))
     assert nameless.count() == 2
 
