@@ -1,11 +1,12 @@
-"""Repeated line runs found by prefix doubling over the sequences of line ids; only DataFrame functions.
-
-The suffixes of all documents' line sequences are sorted into classes by their
-first h lines, h = 1, 2, 4, ...: the class of a suffix for 2h lines is the pair
-of its class and that of the suffix h lines on. A class is an interval of the
-suffix array whose longest common prefix is h lines at least. A suffix whose
-class holds an earlier one begins a later copy of h lines, and the later copies
-of all classes overlap to the maximal repeated runs.
+"""Repeated line runs from a suffix array over line-id sequences; only DataFrame functions.
+
+Prefix doubling: all suffixes of the documents' line sequences are ranked by their
+first h lines, h = 1, 2, 4, ...; the rank for 2h lines is the place, in sorted
+order, of the pair of the suffix's rank for h lines and that of the suffix h lines
+on. Suffixes of one rank are an interval of the suffix array whose longest common
+prefix is h lines at least; those alone in theirs are done. A suffix whose interval
+holds an earlier place begins a later copy of h lines, and overlapping later copies
+make the maximal repeated runs.
 """
 
 from __future__ import annotations
@@ -14,11 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxbar.llm.common import materialize
+from fluxbar.llm.common import hot_limit, materialize
 
 SOLID = r"[^\x20\x09-\x0D]"
-#: Bound of the classes broadcast at once.
-HOT_CLASSES = 5_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -28,114 +27,129 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """Each line with a word: its document, nth among these lines and `at` among all, 128-bit id (a, b), and whether it has min_words words."""
-    every = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    lines = _keyed(docs).select("doc_id", "body", F.posexplode(F.filter(every, lambda x: x["line"].rlike(SOLID))).alias("nth", "l"))
+    """Each line with a word: its document, nth among these lines, 128-bit id (k1, k2), and whether it has min_words words."""
+    solid = F.filter(F.split("text", "\n"), lambda x: x.rlike(SOLID))
+    lines = _keyed(docs).select("doc_id", "body", F.posexplode(solid).alias("nth", "line"))
     wide = rf"^[\x20\x09-\x0D]*({SOLID}+[\x20\x09-\x0D]+){{{max(0, min_words - 1)}}}{SOLID}"
-    return lines.select(
-        "doc_id", "body", "nth", F.col("l.at").alias("at"), F.col("l.line").rlike(wide).alias("wide"),
-        F.xxhash64("l.line").alias("a"), F.xxhash64(F.lit(1), "l.line").alias("b"),
-    )
+    return lines.select("doc_id", "body", "nth", F.col("line").rlike(wide).alias("wide"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def _place():
     return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body", "nth")
 
 
-def _repeated(suffixes: DataFrame) -> DataFrame:
-    """The suffixes whose class has others, with the class's first place.
+def _ranked(suffixes: DataFrame) -> DataFrame:
+    """The suffixes (k1, k2) whose interval of the suffix array holds others, with their rank by (k1, k2) and the interval's first place.
 
-    Classes are pre-aggregated and joined back. Those with more than a HOT_CLASSES-th
-    of all repeated suffixes, of which there are HOT_CLASSES at most, are broadcast, and
-    their suffixes are dealt by place, not by class: no task gets a whole hot class.
+    Intervals are pre-aggregated, sorted over ranges and numbered in that order, then
+    joined back. Those of hot size are broadcast, and their suffixes stay where they
+    are: no task gets a whole hot interval.
     """
-    classes = suffixes.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").drop("last")
-    classes = materialize(classes, "line-repeats")
-    limit = max(1_000, (classes.agg(F.sum("n")).first()[0] or 0) // HOT_CLASSES)
-    hot = classes.where(F.col("n") > limit).select(F.col("a").alias("hot_a"), F.col("b").alias("hot_b"), F.col("first").alias("hot_first"))
-    cold = classes.where(F.col("n") <= limit).select(F.col("a").alias("cold_a"), F.col("b").alias("cold_b"), F.col("first").alias("cold_first"))
-    tagged = suffixes.join(F.broadcast(hot), (F.col("a") == F.col("hot_a")) & (F.col("b") == F.col("hot_b")), "left")
-    dealt = F.when(F.col("hot_a").isNull(), F.col("a")).otherwise(F.xxhash64("doc_id", "body", "nth"))
-    joined = tagged.withColumn("dealt", dealt).join(cold, (F.col("dealt") == F.col("cold_a")) & (F.col("b") == F.col("cold_b")) & F.col("hot_a").isNull(), "left")
-    first = F.coalesce("hot_first", "cold_first")
-    return joined.where(first.isNotNull()).select(*suffixes.columns, first.alias("first"))
+    intervals = suffixes.groupBy("k1", "k2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").drop("last")
+    intervals = materialize(intervals, "intervals")
+    # Ids increase with the partition and, in it, with the row: after a sort they are ranks, if not dense ones.
+    ranks = materialize(intervals.orderBy("k1", "k2").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    limit = hot_limit(ranks.agg(F.sum("n")).first()[0] or 0)
+    kept = [c for c in suffixes.columns if c not in ("k1", "k2")]
+    hot = ranks.where(F.col("n") > limit).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("rank").alias("h_rank"), F.col("first").alias("h_first"))
+    cold = ranks.where(F.col("n") <= limit).select("k1", "k2", "rank", "first")
+    tagged = suffixes.join(F.broadcast(hot), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
+    done = tagged.where("h_rank is not null").select(*kept, F.col("h_rank").alias("rank"), F.col("h_first").alias("first"))
+    return done.unionByName(tagged.where("h_rank is null").select(*suffixes.columns).join(cold, ["k1", "k2"]).select(*kept, "rank", "first"))
+
+
+def _ahead(level: DataFrame, lines: int) -> DataFrame:
+    """level's suffixes with their rank as k1 and that of the suffix so many lines on as k2; those without one are left out."""
+    on = W.partitionBy("doc_id", "body").orderBy("nth").rangeBetween(lines, lines)
+    pairs = level.select("doc_id", "body", "nth", "wide", F.col("rank").alias("k1"), F.first("rank").over(on).alias("k2"))
+    return pairs.where("k2 is not null")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 10) -> DataFrame:
-    """(doc_id, body, first, last, lines, depth): the maximal runs of lines that are later copies.
+    """(doc_id, body, from, until, lines, depth): the maximal runs of lines that are later copies, in numbers of lines with a word.
 
     A line begins a later copy of h lines if the same h lines begin at an earlier
     place too; places are ordered by doc_id (null last), the text's hash and the
-    line. Later copies of min_lines lines and more count (a power of two), and such
-    of a single line with min_words words. Those that share lines form one run, from
-    line `first` to `last` of the text; lines without a word are passed over within
-    it and not compared. depth is the largest h by which part of the run repeats.
+    line. Later copies of min_lines lines and more count, and such of a single line
+    with min_words words. Those that share lines form one run; lines without a word
+    are passed over within it and not compared. depth is the largest h tried (1,
+    min_lines and the powers of two over it) by which part of the run repeats.
 
-    Rounds end when no class of several suffixes is left: after the logarithm of the
-    longest repeated run. Each round's suffixes are written to the shared folder.
+    Rounds end when no interval of several suffixes is left: after the logarithm of
+    the longest repeated run. Each round's suffixes are written to the shared folder.
     """
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
-    h, marks = 1, None
-    level = materialize(_repeated(line_suffixes(docs, min_words)).distinct(), "line-classes")
+    if min_lines < 1:
+        raise ValueError("min_lines must be 1 or more")
+    marks: list[DataFrame] = []
+
+    def mark(level: DataFrame, h: int) -> None:
+        marks.append(level.where(F.col("first") < _place()).select("doc_id", "body", "nth", F.lit(h).alias("h")))
+
+    h = 1
+    level = materialize(_ranked(line_suffixes(docs, min_words)).distinct(), "suffixes")
     while True:
-        begins = level.where(F.col("first") < _place())
-        if h < min_lines:
-            begins = begins.where(F.col("wide") & F.lit(h == 1))
-        begins = begins.select("doc_id", "body", "nth", "at", F.lit(h).alias("h"))
-        marks = begins if marks is None else marks.unionByName(begins)
-        ahead = level.select(F.col("doc_id").alias("d2"), F.col("body").alias("body2"), (F.col("nth") - h).alias("nth2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        pairs = level.join(ahead, level["doc_id"].eqNullSafe(ahead["d2"]) & (level["body"] == ahead["body2"]) & (level["nth"] == ahead["nth2"]))
-        longer = pairs.select("doc_id", "body", "nth", "at", "wide", F.xxhash64("a", "b", "a2", "b2").alias("a"), F.xxhash64("b2", "a2", "b", "a").alias("b"))
-        level = materialize(_repeated(longer), "line-classes")
+        if h >= min_lines:
+            mark(level, h)
+        elif h == 1:
+            mark(level.where("wide"), h)
+        if h < min_lines < 2 * h:
+            # Two overlapping prefixes of h lines make one of min_lines.
+            mark(materialize(_ranked(_ahead(level, min_lines - h)), "suffixes"), min_lines)
+        longer = _ranked(_ahead(level, h))
+        level = materialize(longer, "suffixes")
         h *= 2
         if level.isEmpty():
             break
-    longest = marks.groupBy("doc_id", "body", "nth").agg(F.max("h").alias("h"), F.min("at").alias("at"))
+    every = marks[0]
+    for more in marks[1:]:
+        every = every.unionByName(more)
+    longest = every.groupBy("doc_id", "body", "nth").agg(F.max("h").alias("h"))
     by_doc = W.partitionBy("doc_id", "body").orderBy("nth")
     reach = F.max(F.col("nth") + F.col("h")).over(by_doc.rowsBetween(W.unboundedPreceding, -1))
     runs = longest.withColumn("new", (F.col("nth") >= F.coalesce(reach, F.lit(0))).cast("int")).withColumn("run", F.sum("new").over(by_doc))
-    runs = runs.groupBy("doc_id", "body", "run").agg(F.min("at").alias("first"), F.max(F.col("nth") + F.col("h")).alias("to"), F.min("nth").alias("from"), F.max("h").alias("depth"))
-    return runs.select("doc_id", "body", "first", "from", (F.col("to") - 1).alias("until"), (F.col("to") - F.col("from")).cast("long").alias("lines"), "depth")
+    runs = runs.groupBy("doc_id", "body", "run").agg(F.max(F.col("nth") + F.col("h")).alias("to"), F.min("nth").alias("from"), F.max("h").alias("depth"))
+    return runs.select("doc_id", "body", "from", (F.col("to") - 1).alias("until"), (F.col("to") - F.col("from")).cast("long").alias("lines"), "depth")
 
 
 def _cleaned(docs: DataFrame, columns: list, min_lines: int, min_words: int) -> DataFrame:
-    """docs with __n_lines, __n_removed, __n_runs and __text; columns: what to keep of docs."""
+    """docs with __n_lines, __n_removed, __n_runs, __depth and __text; columns: what to keep of docs."""
     runs = repeated_runs(docs, min_lines, min_words)
-    spans = F.sort_array(F.collect_list(F.struct(F.col("from").alias("from"), "until")))
-    by_doc = runs.groupBy("doc_id", "body").agg(spans.alias("__runs")).withColumnRenamed("doc_id", "__run_id").withColumnRenamed("body", "__run_body")
+    spans = F.sort_array(F.collect_list(F.struct("from", "until")))
+    by_doc = runs.groupBy("doc_id", "body").agg(spans.alias("__runs"), F.max("depth").alias("__depth")).withColumnRenamed("doc_id", "__run_id").withColumnRenamed("body", "__run_body")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(*columns, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__body"), text.alias("__old"))
     joined = keyed.join(by_doc, keyed["__id"].eqNullSafe(by_doc["__run_id"]) & (keyed["__body"] == by_doc["__run_body"]), "left")
-    lines = F.split("__old", "\n")
-    # Lines with the number of lines with a word before them: a run goes from its first line to its last, what is blank between them included.
-    state = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("nth"), F.array().cast("array<string>").alias("kept")),
-        lambda s, x: F.struct(
-            (s["nth"] + x.rlike(SOLID).cast("int")).alias("nth"),
-            F.when(
-                F.exists("__runs", lambda r: (r["from"] < s["nth"] + x.rlike(SOLID).cast("int")) & (s["nth"] <= r["until"])), s["kept"]
-            ).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"),
-        ),
-    )["kept"]
-    kept = F.when(F.col("__runs").isNull(), lines).otherwise(state)
-    done = joined.withColumn("__kept", kept)
+    joined = joined.withColumn("__lines", F.split("__old", "\n"))
+    # Places in the text of the lines with a word; a run goes from its first to its last, what is blank between them included.
+    at = F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(SOLID), i)), lambda i: i.isNotNull())
+    joined = joined.withColumn("__at", F.when(F.col("__runs").isNotNull(), at))
+    cut = F.transform("__runs", lambda r: F.struct(F.element_at("__at", r["from"] + 1).alias("low"), F.element_at("__at", r["until"] + 1).alias("high")))
+    joined = joined.withColumn("__cut", F.coalesce(cut, F.array().cast("array<struct<low:int,high:int>>")))
+    n = F.size("__cut")
+
+    def between(k):
+        """The lines after the k-th run from the beginning (0: from the start of the text) and before the next."""
+        low = F.when(k == 0, F.lit(0)).otherwise(F.get("__cut", k - 1)["high"] + 1)
+        high = F.when(k == n, F.size("__lines")).otherwise(F.get("__cut", k)["low"])
+        return F.slice("__lines", low + 1, high - low)
+
+    done = joined.withColumn("__kept", F.flatten(F.transform(F.sequence(F.lit(0), n), between)))
+    own = ("__id", "__body", "__old", "__run_id", "__run_body", "__runs", "__kept", "__lines", "__at", "__cut", "__depth")
     return done.select(
-        *[c for c in done.columns if c not in ("__id", "__body", "__old", "__run_id", "__run_body", "__runs", "__kept")],
-        F.size(lines).cast("long").alias("__n_lines"), (F.size(lines) - F.size("__kept")).cast("long").alias("__n_removed"),
-        F.coalesce(F.size("__runs"), F.lit(0)).cast("long").alias("__n_runs"), F.array_join("__kept", "\n").alias("__text"),
+        *[c for c in done.columns if c not in own],
+        F.size("__lines").cast("long").alias("__n_lines"), (F.size("__lines") - F.size("__kept")).cast("long").alias("__n_removed"),
+        n.cast("long").alias("__n_runs"), F.coalesce("__depth", F.lit(0)).cast("long").alias("__depth"), F.array_join("__kept", "\n").alias("__text"),
     )
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 10) -> DataFrame:
-    """One row for each row of docs: doc_id, n_lines, n_removed, n_runs and the text without the later copies of repeated_runs().
+    """One row for each row of docs: doc_id, n_lines, n_removed, n_runs, the greatest depth (0: no run) and the text without the later copies of repeated_runs().
 
     Null texts are read as empty, which is one line. Rows that repeat doc_id and text
     are one document: neither is a later copy of the other. Other columns are ignored.
     """
     done = _cleaned(docs, [F.col("doc_id").cast("long").alias("doc_id")], min_lines, min_words)
-    return done.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_lines", "n_removed", "n_runs", "text")])
+    return done.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_lines", "n_removed", "n_runs", "depth", "text")])
 
 
 def without_repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 10) -> DataFrame:

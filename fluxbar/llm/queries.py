@@ -52,7 +52,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "n_runs", "depth", "text")
 
 
 def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +118,26 @@ inner_blank AS (
 removed AS (
   SELECT s.doc_id, s.text, s.pos FROM solid s JOIN gone g ON s.doc_id IS NOT DISTINCT FROM g.doc_id AND s.text = g.text AND s.nth = g.nth
   UNION SELECT r.doc_id, r.text, r.pos FROM raw r JOIN inner_blank i ON r.doc_id IS NOT DISTINCT FROM i.doc_id AND r.text = i.text AND r.pos > i.lo AND r.pos < i.hi),
+marks AS (
+  SELECT doc_id, text, nth, max(len) AS len
+  FROM (SELECT doc_id, text, nth, 1 AS len FROM one WHERE later AND words >= 10 UNION ALL SELECT doc_id, text, nth, 2 FROM two WHERE later) GROUP BY 1, 2, 3),
+runs AS (
+  SELECT doc_id, text, count(*) FILTER (nth >= coalesce(reach, 0)) AS n_runs
+  FROM (SELECT *, max(nth + len) OVER (PARTITION BY doc_id, text ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM marks) GROUP BY 1, 2),
+seqs AS (SELECT doc_id, text, list(line ORDER BY nth) AS ls, list(words ORDER BY nth) AS ws FROM solid GROUP BY 1, 2),
+windows AS (
+  SELECT doc_id, text, h, unnest(generate_series(1, len(ls) - h + 1)) AS nth, unnest(list_transform(generate_series(1, len(ls) - h + 1), lambda i: md5(CAST(ls[i : i + h - 1] AS VARCHAR)))) AS c, ws
+  FROM seqs, (SELECT CAST(2 ** k AS BIGINT) AS h FROM range(24) t(k)) WHERE len(ls) >= h),
+depths AS (
+  SELECT doc_id, text, max(h) AS depth
+  FROM (SELECT *, row_number() OVER (PARTITION BY h, c ORDER BY doc_id NULLS LAST, text, nth) > 1 AS later FROM windows) WHERE later AND (h > 1 OR ws[nth] >= 10) GROUP BY 1, 2),
 clean AS (
   SELECT r.doc_id, r.text AS old, count(*) AS n_lines, count(*) FILTER (x.pos IS NOT NULL) AS n_removed,
          coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (x.pos IS NULL), '') AS text
   FROM raw r LEFT JOIN removed x ON x.doc_id IS NOT DISTINCT FROM r.doc_id AND x.text = r.text AND x.pos = r.pos GROUP BY 1, 2)
-SELECT d.doc_id, CAST(c.n_lines AS BIGINT) AS n_lines, CAST(c.n_removed AS BIGINT) AS n_removed, c.text
+SELECT d.doc_id, CAST(c.n_lines AS BIGINT) AS n_lines, CAST(c.n_removed AS BIGINT) AS n_removed, CAST(coalesce(r.n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(p.depth, 0) AS BIGINT) AS depth, c.text
 FROM documents d JOIN clean c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.old = coalesce(d.text, '')
+LEFT JOIN runs r ON r.doc_id IS NOT DISTINCT FROM d.doc_id AND r.text = c.old LEFT JOIN depths p ON p.doc_id IS NOT DISTINCT FROM d.doc_id AND p.text = c.old
 """
 
 OP10_SQL = """

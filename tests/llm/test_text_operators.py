@@ -347,8 +347,10 @@ def plain_runs(rows, min_lines=2, min_words=10):
                     while p + k < len(solid) and q + k < len(own) and lines[solid[p + k]] == other[own[q + k]]:
                         k += 1
                     best = max(best, k)
-            if best >= min_lines or best == 1 and len(lines[solid[p]].split()) >= min_words:
+            if best >= min_lines:
                 gone |= set(range(solid[p], solid[p + best - 1] + 1))
+            elif best and len(lines[solid[p]].split()) >= min_words:
+                gone.add(solid[p])
         out[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
     return out
 
@@ -361,7 +363,39 @@ def test_line_runs_match_the_definition(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_runs([(i, t, 0) for i, t in rows])
     for r in line_dedup.dedup_lines(df).collect():
-        assert (r.text, r.n_removed) == want[r.doc_id, dict(rows)[r.doc_id]]
+        assert (r.text, r.n_removed) == want[r.doc_id, dict(rows)[r.doc_id]] and (r.n_runs > 0) == (r.n_removed > 0)
+    for least in (1, 3, 6):
+        want = plain_runs([(i, t, 0) for i, t in rows], min_lines=least)
+        for r in line_dedup.dedup_lines(df, min_lines=least).collect():
+            assert (r.text, r.n_removed) == want[r.doc_id, dict(rows)[r.doc_id]]
+
+
+def test_ranks_are_those_of_the_sorted_suffixes(spark):
+    """Each round's ranks put the suffixes in the order of their first h line ids, and an interval's depth is what its suffixes share."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "\n".join(rng.choice(["p", "q", "r"], 12))) for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    suffixes = line_dedup.line_suffixes(df, 10)
+    ids = {(r.doc_id, r.nth): (r.k1, r.k2) for r in suffixes.collect()}
+    level, h = line_dedup._ranked(suffixes), 1
+    for _ in range(3):
+        found = {(r.doc_id, r.nth): r.rank for r in level.collect()}
+        prefix = {s: tuple(ids[s[0], s[1] + k] for k in range(h)) for s in ids if s[1] + h <= 12}
+        times = defaultdict(int)
+        for x in prefix.values():
+            times[x] += 1
+        assert found.keys() == {s for s, x in prefix.items() if times[x] > 1}
+        order = sorted(found, key=lambda s: prefix[s])
+        for a, b in zip(order, order[1:], strict=False):
+            assert (found[a] == found[b]) == (prefix[a] == prefix[b]) and found[a] <= found[b]
+        level, h = line_dedup._ranked(line_dedup._ahead(level, h)), 2 * h
+
+
+def test_depth_comes_from_the_doubling(spark):
+    line = lambda n: "\n".join(f"row {i}" for i in range(n))
+    rows = [(0, line(40)), (1, "x\n" + line(39) + "\ny"), (2, "row 3\nrow 4\nz"), (3, "a\nb")]
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i].depth for i in range(4)] == [0, 32, 2, 0] and [found[i].n_runs for i in range(4)] == [0, 1, 1, 0]
 
 
 def test_line_runs_of_hot_classes(spark):
@@ -392,8 +426,14 @@ def test_no_python_in_line_dedup(documents):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
-def test_depth_must_be_a_power_of_two(documents):
+def test_runs_have_a_line(documents):
     with pytest.raises(ValueError):
-        line_dedup.dedup_lines(documents, min_lines=3)
+        line_dedup.dedup_lines(documents, min_lines=0)
+
+
+def test_line_dedup_of_long_texts_is_linear(spark):
+    text = "\n".join(f"line {i % 7000}" for i in range(30_000))
+    r = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_lines == 30_000 and r.n_removed == 23_000 and r.text == "\n".join(f"line {i}" for i in range(7000))
 
 
