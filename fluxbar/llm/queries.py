@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fluxbar.llm import html_wrapper, kmeans_tree, langid, line_dedup, maxscore, mixing, packing, pii, secret_scan, simhash
 
@@ -44,7 +45,7 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_join("shards", ",").alias("shards"), F.array_join("orders", ",").alias("orders"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +67,9 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place, md5(coalesce(text, '')) AS digest
   FROM documents),
+digits AS (SELECT CASE WHEN count(*) <= 256 THEN 1 WHEN count(*) <= 65536 THEN 2 WHEN count(*) <= 16777216 THEN 3 WHEN count(*) <= 4294967296 THEN 4 ELSE 5 END AS d FROM documents),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS weight,
@@ -88,12 +90,47 @@ targets AS (
   FROM src s JOIN (SELECT unnest(state) AS x, remaining, CAST(list_sum(list_transform(state, lambda x: CASE WHEN x.capped THEN 0 ELSE x.w END)) AS BIGINT) AS wsum
                    FROM fill WHERE round = (SELECT r FROM last_round)) f ON f.x.i = s.i),
 drawn AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS total,
+  SELECT d.*, substr(d.place, 1, (SELECT d FROM digits)) AS block, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS total,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (total // source_size) * size + greatest(0, least(size, total % source_size - before)) END AS BIGINT) AS taken
-FROM drawn
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+parts AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE total // source_size END AS passes, CASE WHEN source_size = 0 THEN 0 ELSE total % source_size END AS rest,
+         dense_rank() OVER (PARTITION BY source ORDER BY block) - 1 AS nth FROM drawn),
+dealt AS (
+  SELECT source, max(nth) + 1 AS n_blocks, CAST((max(nth) + 1) * (any_value(passes) + CASE WHEN any_value(rest) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n,
+         row_number() OVER (ORDER BY source NULLS LAST) AS i FROM parts GROUP BY source),
+node(a, b, i, n, x, take) AS (
+  SELECT 0, 16, 1, list(n ORDER BY i), []::BIGINT[], CAST(sum(n) AS BIGINT) * 8 // 16 FROM dealt
+  UNION ALL
+  SELECT a, b, i, n, x, CASE WHEN i = 1 THEN CAST(list_sum(n) AS BIGINT) * ((a + b) // 2 - a) // greatest(1, b - a) ELSE take END
+  FROM (
+    SELECT CASE WHEN done AND side = 1 THEN (a + b) // 2 ELSE a END AS a, CASE WHEN done AND side = 0 THEN (a + b) // 2 ELSE b END AS b, CASE WHEN done THEN 1 ELSE i + 1 END AS i,
+           CASE WHEN NOT done THEN n WHEN side = 0 THEN x ELSE list_transform(n, lambda v, k: v - x[k]) END AS n,
+           CASE WHEN done THEN []::BIGINT[] ELSE list_append(x, draw) END AS x, CASE WHEN done THEN 0 ELSE take - draw END AS take
+    FROM (
+      SELECT *, CASE WHEN NOT done THEN least(high, low + list_sum(list_transform(range(1, len(p) + 1), lambda k: CASE WHEN list_sum(p[1:k]) <= u * list_sum(p) THEN 1 ELSE 0 END))) END AS draw
+      FROM (
+        SELECT *, list_transform(logs, lambda v: exp(v - list_max(logs))) AS p
+        FROM (
+          SELECT *, CASE WHEN NOT done THEN list_transform(range(low, high + 1), lambda k: -lgamma(k + 1) - lgamma(own - k + 1) - lgamma(take - k + 1) - lgamma(others - take + k + 1)) END AS logs
+          FROM (
+            SELECT *, greatest(0, take - others) AS low, least(own, take) AS high
+            FROM (
+              SELECT *, i > len(n) AS done, n[i] AS own, CAST(coalesce(list_sum(n[i + 1:]), 0) AS BIGINT) AS others,
+                     CAST('0x' || substr(md5('0:' || a || ':' || b || ':' || (i - 1)), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u
+              FROM node WHERE b - a > 1)))))
+    CROSS JOIN (VALUES (0), (1)) v(side) WHERE done OR side = 0)),
+quotas AS (SELECT a AS shard, unnest(n) AS q, generate_subscripts(n, 1) AS i FROM node WHERE b - a = 1 AND i = 1),
+until AS (SELECT d.source, d.n_blocks, list(q.upto ORDER BY q.shard) AS until
+          FROM (SELECT i, shard, sum(q) OVER (PARTITION BY i ORDER BY shard) AS upto FROM quotas) q JOIN dealt d ON d.i = q.i GROUP BY 1, 2),
+taken AS (
+  SELECT p.*, u.until, u.n_blocks, CAST(greatest(0, least(p.size, rest - before)) AS BIGINT) AS part
+  FROM parts p JOIN until u ON p.source IS NOT DISTINCT FROM u.source),
+copies AS (SELECT *, CASE WHEN size > 0 THEN range(0, CAST(passes AS BIGINT) + CASE WHEN part > 0 THEN 1 ELSE 0 END) ELSE []::BIGINT[] END AS c FROM taken)
+SELECT doc_id, size, source_size, target, CAST(passes * size + part AS BIGINT) AS taken,
+       array_to_string(list_transform(c, lambda k: len(list_filter(until, lambda v: v <= n_blocks * k + nth))), ',') AS shards,
+       array_to_string(list_transform(c, lambda k: substr(md5('0:order:' || k || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 12)), ',') AS orders
+FROM copies
 """
 
 OP8_SQL = r"""

@@ -285,11 +285,45 @@ def test_targets_share_all_words():
 
 
 def test_quotas_are_exact():
-    counts = np.array([7, 0, 100, 3])
+    counts = [7, 0, 100, 3]
     q = mixing.split_quotas(counts, 6, 1)
     assert (q.sum(0) == counts).all() and np.ptp(q.sum(1)) <= 1 and (q == mixing.split_quotas(counts, 6, 1)).all()
 
 
+def test_draws_follow_the_hypergeometric_distribution():
+    from math import comb
+
+    for own, others, take in ((7, 5, 4), (3, 40, 20), (1, 0, 1), (0, 5, 2), (60, 90, 30)):
+        p = [comb(own, k) * comb(others, take - k) / comb(own + others, take) if 0 <= take - k <= others else 0.0 for k in range(own + 1)]
+        for u in np.linspace(0.0005, 0.9995, 997):
+            k = mixing.hypergeometric(own, others, take, float(u))
+            assert sum(p[:k]) <= u + 1e-9 and u - 1e-9 <= sum(p[: k + 1])
+    # At a size where the draw is long past a billion blocks it stays a draw: about the mean, and not the mean.
+    far = [mixing.hypergeometric(3 * 10**10, 5 * 10**10, 4 * 10**10, mixing.uniform(str(i))) - 15 * 10**9 for i in range(60)]
+    sd = (4e10 * 3 / 8 * 5 / 8 * 0.5) ** 0.5
+    assert len(set(far)) == 60 and abs(sum(far)) / 60 < sd and 0.5 * sd < np.std(far) < 1.6 * sd
+
+
+def test_shards_get_their_quotas_of_blocks(documents):
+    """What the tree deals, counted from the rows: each shard's blocks of each source are split_quotas', in the order of the permutation."""
+    rows = mixing.mix_sources(documents).collect()
+    by = defaultdict(set)
+    for r in rows:
+        for copy, shard in enumerate(r.shards):
+            by[r.source, copy, r.block].add(shard)
+    assert all(len(x) == 1 for x in by.values()) and len({s for x in by.values() for s in x}) == 16
+    sources = sorted({r.source for r in rows}, key=lambda x: (x is None, x or ""))
+    blocks = {s: sorted({r.block for r in rows if r.source == s}) for s in sources}
+    passes = {s: [divmod(int(r.target + 0.5), r.source_size) for r in rows if r.source == s][0] for s in sources}
+    quotas = mixing.split_quotas([len(blocks[s]) * (passes[s][0] + (passes[s][1] > 0)) for s in sources], 16, 0)
+    for i, s in enumerate(sources):
+        until = np.cumsum(quotas[:, i])
+        for (source, copy, block), shards in by.items():
+            if source == s:
+                place = copy * len(blocks[s]) + blocks[s].index(block)
+                assert shards == {int((until <= place).sum())}
+
+
 def test_mix_takes_the_targets(documents, odd_documents, no_documents):
     for docs in (documents, odd_documents):
         rows = mixing.mix_sources(docs).collect()
@@ -297,7 +331,7 @@ def test_mix_takes_the_targets(documents, odd_documents, no_documents):
         by = defaultdict(list)
         for r in rows:
             by[r.source].append(r)
-            assert 0 <= r.taken <= 3 * r["size"] and (r.shard is None) == (r.taken == 0)
+            assert 0 <= r.taken <= 3 * r["size"] and (not r.shards) == (r.taken == 0) and len(r.orders) == len(r.shards) <= 3
         for own in by.values():
             assert sum(r.taken for r in own) == pytest.approx(own[0].target, abs=0.51)
             assert sum(r["size"] for r in own) == own[0].source_size
@@ -313,7 +347,7 @@ def test_mix_deals_copies_to_the_tree_s_shards_and_parts_them(documents):
     assert len({r["__shard"] for r in rows}) > 4 and len({(r.doc_id, r["__copy"]) for r in rows}) == len(rows)
     for r in rows:
         own = sized[r.doc_id]
-        assert r["__shard"] == own.shards[r["__copy"]] and own.shard == own.shards[-1] and own.shards == sorted(own.shards)
+        assert r["__shard"] == own.shards[r["__copy"]] and r["__order"] == own.orders[r["__copy"]] and own.shards == sorted(own.shards)
     want = {i: (2 * r.taken + r["size"]) // (2 * r["size"]) for i, r in sized.items() if r["size"]}
     times = defaultdict(int)
     for r in rows:
