@@ -26,13 +26,28 @@ def _ordered(df: DataFrame, keys: list[str], order: str, roots: list[str], of, c
     return df.select(*keys, order, *roots).groupBy(*keys).applyInPandas(fold, schema)
 
 
-def _ridged(cov: np.ndarray, ridge: float) -> np.ndarray:
-    scale = np.trace(cov) / len(cov)
-    return cov + ridge * (scale if math.isfinite(scale) and scale > 0 else 1.0) * np.eye(len(cov))
+def conditioned(cov: np.ndarray, ridge: float) -> np.ndarray:
+    """Covariances (the last two axes) with `ridge` times their mean variance on the diagonal, or ridge itself where that isn't a positive number."""
+    k = cov.shape[-1]
+    mean = np.einsum("...ii->...", cov) / k
+    weight = np.where((mean > 0) & np.isfinite(mean), mean, 1.0) * ridge
+    return cov + weight[..., None, None] * np.eye(k)
 
 
-def _distance(d: np.ndarray, cov: np.ndarray) -> float:
-    return math.sqrt(max(0.0, float(d @ np.linalg.pinv(cov) @ d)))
+def distances_of(d: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Mahalanobis lengths of the rows of d, each by its own covariance."""
+    return np.sqrt(np.maximum(0.0, np.einsum("ni,nij,nj->n", d, np.linalg.pinv(cov, hermitian=True), d)))
+
+
+def decayed(start: np.ndarray, steps: np.ndarray, keep: float, chunk: int = 256) -> np.ndarray:
+    """y[0] = start, y[t + 1] = keep * y[t] + steps[t], for all t: an affine map, so chunks are triangular products that only their first value links."""
+    flat, out = steps.reshape(len(steps), start.size), [start.reshape(1, -1)]
+    for a in range(0, len(flat), chunk):
+        part = flat[a : a + chunk]
+        age = np.arange(len(part))
+        powers = np.tril(keep ** np.maximum(age[:, None] - age[None, :], 0))
+        out.append(keep ** (age + 1.0)[:, None] * out[-1][-1:] + powers @ part)
+    return np.concatenate(out).reshape(len(steps) + 1, *start.shape)
 
 
 def rolling_mahalanobis(df: DataFrame, keys: list[str], order: str, roots: list[str], window: int | None, least: int, ridge: float = 1e-6) -> DataFrame:
@@ -46,7 +61,7 @@ def rolling_mahalanobis(df: DataFrame, keys: list[str], order: str, roots: list[
             fine = np.isfinite(row).all()
             if fine and n >= max(least, 2):
                 cov = (ss - np.outer(s, s) / n) / (n - 1)
-                out.append(_distance(row - s / n, _ridged(cov, ridge)))
+                out.append(distances_of((row - s / n)[None], conditioned(cov, ridge)[None])[0])
             else:
                 out.append(math.nan)
             held.append(row if fine else None)
@@ -59,30 +74,51 @@ def rolling_mahalanobis(df: DataFrame, keys: list[str], order: str, roots: list[
     return _ordered(df, keys, order, roots, of, ["distance"])
 
 
+def ewma_moments(x: np.ndarray, half_life: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentially weighted means and covariances as they were before each row of x but the first, which they begin with."""
+    keep = 0.5 ** (1 / max(half_life, 1))
+    mean = decayed(x[0], (1 - keep) * x[1:], keep)[:-1]
+    d = x[1:] - mean
+    return mean, decayed(ridge * np.eye(x.shape[1]), (1 - keep) * d[:, :, None] * d[:, None, :], keep)[:-1]
+
+
 def ewma_mahalanobis(df: DataFrame, keys: list[str], order: str, roots: list[str], half_life: float, least: int, ridge: float = 1e-6) -> DataFrame:
     """distance of each vector from exponentially weighted moments as they were before it; rows with a missing component are passed over."""
-    alpha = 1 - math.exp(math.log(0.5) / max(half_life, 1))
 
     def of(x):
-        mean = cov = None
-        seen, out = 0, []
-        for row in x:
-            if not np.isfinite(row).all():
-                out.append(math.nan)
-                continue
-            if mean is None:
-                mean, cov = row.copy(), ridge * np.eye(len(row))
-                out.append(math.nan)
-            else:
-                d = row - mean
-                out.append(_distance(d, _ridged(cov, ridge)) if seen >= least else math.nan)
-                mean, cov = mean + alpha * d, (1 - alpha) * cov + alpha * np.outer(d, d)
-            seen += 1
+        out, fine = np.full(len(x), math.nan), np.flatnonzero(np.isfinite(x).all(1))
+        if len(fine) > 1:
+            mean, cov = ewma_moments(x[fine], half_life, ridge)
+            late = max(least, 1)
+            out[fine[late:]] = distances_of((x[fine][1:] - mean)[late - 1 :], conditioned(cov, ridge)[late - 1 :])
         return (out,)
 
     return _ordered(df, keys, order, roots, of, ["distance"])
 
 
+def ewma_residual(df: DataFrame, keys: list[str], order: str, roots: list[str], half_life: float, least: int, ridge: float = 1e-6) -> DataFrame:
+    """residual_<root>: each component less what the others lead to expect of it, by exponentially weighted moments as they were before the row.
+
+    The expectation is the conditional mean: the component's mean and its covariances
+    with the others through the inverse of theirs, which has the ridge.
+    """
+
+    def of(x):
+        k = x.shape[1]
+        out, fine = [np.full(len(x), math.nan) for _ in range(k)], np.flatnonzero(np.isfinite(x).all(1))
+        if len(fine) > 1:
+            mean, cov = ewma_moments(x[fine], half_life, ridge)
+            late = max(least, 1)
+            d, cov = (x[fine][1:] - mean)[late - 1 :], cov[late - 1 :]
+            for j in range(k):
+                rest = [i for i in range(k) if i != j]
+                inner = np.linalg.pinv(conditioned(cov[:, rest][:, :, rest], ridge), hermitian=True)
+                out[j][fine[late:]] = d[:, j] - np.einsum("ni,nij,nj->n", cov[:, j][:, rest], inner, d[:, rest])
+        return out
+
+    return _ordered(df, keys, order, roots, of, [f"residual_{r}" for r in roots])
+
+
 def rolling_ridge_residual(df: DataFrame, keys: list[str], order: str, roots: list[str], window: int, least: int, alpha: float = 1.0) -> DataFrame:
     """residual_<root>: each component less its ridge prediction from the others over the window before it; the intercept isn't penalised."""
 
@@ -201,7 +237,7 @@ def robust_distance(df: DataFrame, roots: list[str], share: float = 0.9, least:
     scale = reach(at, 0.5) / chi2_quantile(0.5, k)
     if scale > 0:
         at = moments(valid.where(square(names, *at) / scale < chi2_quantile(0.975, k)))
-    return df.withColumn("distance", F.when(fine, F.sqrt(square(x, at[0], _ridged(at[1], ridge)))))
+    return df.withColumn("distance", F.when(fine, F.sqrt(square(x, at[0], conditioned(at[1], ridge)))))
 
 
 def quantile_flags(df: DataFrame, x: str, quantiles: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:

@@ -127,37 +127,36 @@ def variance_bars(bars: DataFrame, threshold: float, key: str = "root", day: str
     return bars.groupBy(key, day).applyInPandas(fold, f"{key} {kinds[key]}, {day} {kinds[day]}, bar long, start {kinds[order]}, end {kinds[order]}, n long, ret double, variance double")
 
 
+def variance_threshold(bars: DataFrame, train: Column, per_day: float, keys: tuple[str, ...] = ("root",), day: str = "day", ret: str = "ret") -> DataFrame:
+    """(keys, threshold): the squared returns of a training day on average, over the number of bars a day is to have."""
+    daily = bars.where(train).groupBy(*keys, day).agg(F.sum(F.col(ret) * F.col(ret)).alias("__v"))
+    return daily.groupBy(*keys).agg((F.avg("__v") / per_day).alias("threshold"))
+
+
 def contract_schedule(volumes: DataFrame) -> DataFrame:
     """(root, session, active, is_roll) from (root, session, symbol, volume, expiry_rank).
 
-    The active contract stays until a later-expiring one out-trades it in a session;
-    without one, or if it doesn't trade, the largest volume wins (ties: the first
-    symbol). A fold over the sessions of each root: days, not ticks.
+    While the active contract trades, only later-expiring ones of a larger volume
+    may take over; when it doesn't, any may. Of those the largest volume wins, ties
+    the first symbol; without any the contract stays. A fold over the sessions of
+    each root: days, not ticks.
     """
+    traded = F.collect_list(F.when(F.col("volume") > 0, F.struct((-F.col("volume")).alias("less"), "symbol", "expiry_rank")))
+    days = volumes.groupBy("root", "session").agg(F.sort_array(traded).alias("traded"))
+    kind = volumes.schema["session"].dataType.simpleString()
 
     def fold(keys, pdf):
         import pandas as pd
 
-        out, current, rank = [], None, {}
-        for session, own in pdf.sort_values(["session", "symbol"]).groupby("session"):
-            own = own[own["volume"] > 0]
-            volume = dict(zip(own["symbol"], own["volume"], strict=True))
-            rank.update(zip(own["symbol"], own["expiry_rank"], strict=True))
-            before = current
-            if volume:
-                if current is None or current not in volume:
-                    current = max(volume, key=lambda s: (volume[s], [-ord(c) for c in s]))
-                else:
-                    later = {s: v for s, v in volume.items() if rank[s] > rank[current]}
-                    if later:
-                        best = max(later, key=lambda s: (later[s], [-ord(c) for c in s]))
-                        if later[best] > volume[current]:
-                            current = best
-            out.append((keys[0], session, current, before is not None and current != before))
+        out, active = [], None
+        for session, traded in zip(*(pdf.sort_values("session")[c] for c in ("session", "traded")), strict=True):
+            own = [t for t in traded if t["symbol"] == active]
+            takers = [t for t in traded if not own or (t["expiry_rank"] > own[0]["expiry_rank"] and t["less"] < own[0]["less"])]
+            last, active = active, takers[0]["symbol"] if takers else active
+            out.append((keys[0], session, active, last is not None and active != last))
         return pd.DataFrame(out, columns=["root", "session", "active", "is_roll"])
 
-    kind = volumes.schema["session"].dataType.simpleString()
-    return volumes.groupBy("root").applyInPandas(fold, f"root string, session {kind}, active string, is_roll boolean")
+    return days.groupBy("root").applyInPandas(fold, f"root string, session {kind}, active string, is_roll boolean")
 
 
 def continuous(bars: DataFrame, schedule: DataFrame) -> DataFrame:

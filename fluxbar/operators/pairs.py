@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxbar.functions import div, guarded, series, trailing
+from fluxbar.functions import div, guarded, safe_corr, series, trailing
 from fluxbar.operators.windows import rolling_beta
 
 
 @dataclass(frozen=True)
 class Rules:
-    """entry and exit are bounds of |z|; the others count rows. confirm: a distance that entries must exceed too."""
+    """entry and exit are bounds of |z|; the next three count rows. confirm: a distance that entries must exceed too; min_change: of both legs' targets, smaller ones are not followed."""
 
     entry: float = 2.0
     exit: float = 0.5
@@ -22,6 +22,7 @@ class Rules:
     min_hold: int = 0
     cooldown: int = 0
     confirm: float | None = None
+    min_change: float = 0.0
 
     def __post_init__(self):
         if not self.exit < self.entry:
@@ -68,6 +69,16 @@ def fold(z, beta, r: Rules, distance=None) -> tuple[list[int], list[float], list
     return states, one, two
 
 
+def followed(one: list[float], two: list[float], least: float) -> tuple[list[float], list[float]]:
+    """Both legs' targets where they are `least` or more away, together, from those last followed; these elsewhere."""
+    at, out = (0.0, 0.0), []
+    for legs in zip(one, two, strict=True):
+        if abs(legs[0] - at[0]) + abs(legs[1] - at[1]) >= least:
+            at = legs
+        out.append(at)
+    return [a for a, _ in out], [b for _, b in out]
+
+
 def run(frames: DataFrame, lookback: int, rules: Rules, cost_bps: float, lag: int = 1, pair: str = "pair", order: str = "ts") -> DataFrame:
     """frames (pair, ts, log_price_a/b, log_return_a/b, optionally distance) with z, state, targets, positions, turnover and net return.
 
@@ -86,6 +97,7 @@ def run(frames: DataFrame, lookback: int, rules: Rules, cost_bps: float, lag: in
 
         pdf = pdf.sort_values(order)
         states, one, two = fold(pdf["z"].to_numpy(float), pdf["beta"].to_numpy(float), rules, pdf["distance"].astype(float).to_numpy() if rules.confirm is not None else np.full(len(pdf), math.nan))
+        one, two = followed(one, two, rules.min_change)
         return pdf.assign(state=states, target_a=one, target_b=two)
 
     schema = f"{pair} {kind[pair]}, {order} {kind[order]}, " + ", ".join(f"{c} double" for c in columns) + ", state int, target_a double, target_b double"
@@ -156,6 +168,7 @@ def run_distance(frames: DataFrame, lookback: int, rules: Rules, cost_bps: float
     def each(pdf):
         pdf = pdf.sort_values(order)
         states, one, two = distance_fold(*[pdf[c].to_numpy(float) for c in columns[2:]], rules)
+        one, two = followed(one, two, rules.min_change)
         return pdf.assign(state=states, target_a=one, target_b=two)
 
     schema = f"{pair} {kind[pair]}, {order} {kind[order]}, " + ", ".join(f"{c} double" for c in columns) + ", state int, target_a double, target_b double"
@@ -187,3 +200,44 @@ def additive_metrics(df: DataFrame, keys: list[str], order: str, x: str, per_yea
         F.count(x).alias("n"), F.sum(x).alias("total"), (F.stddev_samp(x) * per_year**0.5).alias("volatility"), (ratio * per_year**0.5).alias("sharpe"),
         (ratio * F.sqrt(F.count(x).cast("double"))).alias("t"), F.min(F.col("__sum") - F.col("__top")).alias("drawdown"),
     )
+
+
+def compound_metrics(df: DataFrame, keys: list[str], order: str, x: str, active: str, turnover: str, per_year: float) -> DataFrame:
+    """n, compounded and annualised return, volatility, Sharpe ratio, drawdown, share of active rows, turnover and rows that trade; missing returns count as 0."""
+    past = series(*keys, order=order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__x", F.coalesce(x, F.lit(0.0))).withColumn("__e", F.product(1 + F.col("__x")).over(past)).withColumn("__top", F.max("__e").over(past))
+    sd = F.coalesce(F.stddev_samp("__x"), F.lit(0.0))
+    ratio = F.coalesce(div(F.avg("__x"), F.nullif(sd, F.lit(0.0))), F.lit(0.0))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), (F.max_by("__e", order) - 1).alias("total_return"), (F.pow(1 + F.avg("__x"), F.lit(per_year)) - 1).alias("annual_return"),
+        (sd * per_year**0.5).alias("volatility"), (ratio * per_year**0.5).alias("sharpe"), F.min(F.col("__e") / F.col("__top") - 1).alias("max_drawdown"),
+        F.avg(F.coalesce(F.col(active).cast("double"), F.lit(0.0))).alias("active_share"), F.sum(F.coalesce(turnover, F.lit(0.0))).alias("turnover"), F.count_if(F.col(turnover) > 0).alias("trades"),
+    )
+
+
+def experiment(frames: DataFrame, lookback: int, methods: dict[str, Rules], cost_bps: float, per_year: float, train_share: float, least_rows: int, least_corr: float, ridge: float = 1e-6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(selection, metrics, portfolio) of pair methods, each run over whole series and measured on the rows after the training share.
+
+    methods names Rules for zscore, zscore_mahalanobis (its Rules.confirm is the
+    distance) and mahalanobis. A pair is selected if it has least_rows rows and a
+    correlation of log prices of least_corr or more, by size, over its training rows.
+    """
+    w, whole = series("pair", order="ts"), Window.partitionBy("pair")
+    placed = frames.withColumn("__i", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(whole))
+    train = F.col("__i") <= F.floor(F.col("__n") * train_share)
+    selection = placed.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.when(train, F.col("log_price_a")), F.when(train, F.col("log_price_b"))).alias("corr"))
+    selection = selection.withColumn("selected", F.coalesce((F.col("n") >= least_rows) & (F.abs("corr") >= least_corr), F.lit(False)))
+    kept = frames.join(selection.where("selected").select("pair"), "pair", "left_semi")
+    ran = None
+    for name, rules in methods.items():
+        if name == "mahalanobis":
+            own = run_distance(kept, lookback, rules, cost_bps, ridge)
+        else:
+            own = run(pair_distance(kept, lookback, ridge) if name == "zscore_mahalanobis" else kept, lookback, rules, cost_bps)
+        own = own.select(F.lit(name).alias("method"), "pair", "ts", "net", "active", "turnover")
+        ran = own if ran is None else ran.unionByName(own)
+    placed = ran.withColumn("__i", F.row_number().over(series("method", "pair", order="ts"))).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("method", "pair")))
+    tested = placed.where(F.col("__i") > F.floor(F.col("__n") * train_share)).drop("__i", "__n")
+    metrics = compound_metrics(tested, ["method", "pair"], "ts", "net", "active", "turnover", per_year)
+    together = tested.groupBy("method", "ts").agg(F.avg("net").alias("net"), F.sum(F.col("active").cast("int")).alias("active_pairs"), F.countDistinct("pair").alias("pairs"), F.avg("turnover").alias("turnover"))
+    return selection, metrics, together

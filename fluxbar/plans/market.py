@@ -152,9 +152,9 @@ def o050(spark, sf_dir):
     return b.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("lp") - F.col("lp0")), 6).alias("mean_path"))
 
 
-@query("o069_latest_row", _sql(s.TRADES_SQL, "SELECT root, arg_max(price, ts) AS price, max(ts) AS ts FROM trades GROUP BY root"))
+@query("o069_latest_row", _sql(s.TRADES_SQL, "SELECT root, arg_max(price, (ts, seq)) AS price, max(ts) AS ts FROM trades GROUP BY root"))
 def o069(spark, sf_dir):
-    return s.trades(spark, sf_dir).groupBy("root").agg(F.max_by("price", "ts").alias("price"), F.max("ts").alias("ts"))
+    return s.trades(spark, sf_dir).groupBy("root").agg(F.max_by("price", F.struct("ts", "seq")).alias("price"), F.max("ts").alias("ts"))
 
 
 @query("o073_trade_inventory", _sql(s.TRADES_SQL, """SELECT root, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(notional), 4) AS notional, round(sum(signed) / nullif(sum(notional), 0), 6) AS signed_ratio,
@@ -339,15 +339,35 @@ def _contracts(spark, sf_dir):
     return t, v.withColumn("expiry_rank", F.when(F.col("symbol").endswith("H6"), 0).when(F.col("symbol").endswith("M6"), 1).otherwise(2))
 
 
-@query("o159_contract_schedule")
+SCHEDULE = s.TRADES_SQL + """,
+c AS (SELECT root, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS session, root || CASE user_id % 3 WHEN 0 THEN 'H6' WHEN 1 THEN 'M6' ELSE 'U6' END AS symbol, user_id % 3 AS rk, size, ts, seq, price FROM trades),
+v AS (SELECT root, session, symbol, any_value(rk) AS rk, sum(size) AS volume FROM c GROUP BY ALL),
+d AS (SELECT root, session, list({'less': -volume, 'symbol': symbol, 'rk': rk} ORDER BY -volume, symbol) AS traded, row_number() OVER (PARTITION BY root ORDER BY session) AS i FROM v WHERE volume > 0 GROUP BY root, session),
+f(root, i, session, active, was) AS (
+  SELECT root, i, session, traded[1].symbol, NULL::VARCHAR FROM d WHERE i = 1
+  UNION ALL
+  SELECT d.root, d.i, d.session, coalesce(list_filter(d.traded, lambda t: len(list_filter(d.traded, lambda o: o.symbol = f.active)) = 0
+      OR (t.rk > list_filter(d.traded, lambda o: o.symbol = f.active)[1].rk AND t.less < list_filter(d.traded, lambda o: o.symbol = f.active)[1].less))[1].symbol, f.active), f.active
+  FROM f JOIN d ON d.root = f.root AND d.i = f.i + 1)"""
+
+
+@query("o159_contract_schedule", f"WITH RECURSIVE {SCHEDULE} SELECT root, session, active, coalesce(active <> was, false) AS is_roll FROM f")
 def o159(spark, sf_dir):
     return bars.contract_schedule(_contracts(spark, sf_dir)[1])
 
 
-@query("o15a_continuous")
+@query("o15a_continuous", f"""WITH RECURSIVE {SCHEDULE},
+b AS (SELECT root, session, symbol, ts, arg_max(price, seq) AS close FROM c GROUP BY ALL),
+r AS (SELECT *, coalesce(ln(close) - lag(ln(close)) OVER (PARTITION BY root, symbol ORDER BY ts), 0) AS r FROM b),
+j AS (SELECT r.*, f.active FROM r JOIN f ON f.root = r.root AND f.session = r.session AND f.active = r.symbol),
+u AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY root, ts ORDER BY symbol) = 1)
+SELECT root, ts, active, round(r, 6) AS cont_logret, round(sum(r) OVER w + first_value(ln(close) - r) OVER w, 6) AS cont_logprice, coalesce(active <> lag(active) OVER (PARTITION BY root ORDER BY ts), false) AS rolled
+FROM u WINDOW w AS (PARTITION BY root ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
 def o15a(spark, sf_dir):
     t, v = _contracts(spark, sf_dir)
-    return bars.continuous(t.select("root", "session", "symbol", "ts", F.col("price").alias("close")), bars.contract_schedule(v))
+    t = t.groupBy("root", "session", "symbol", "ts").agg(F.max_by("price", "seq").alias("price"))
+    done = bars.continuous(t.select("root", "session", "symbol", "ts", F.col("price").alias("close")), bars.contract_schedule(v))
+    return done.select("root", "ts", "active", *r6("cont_logret", "cont_logprice"), "rolled")
 
 
 @query("o15b_carry", _sql(s.TRADES_SQL + """,

@@ -31,10 +31,13 @@ def o028(spark, sf_dir):
     return s.matching(s.table(spark, sf_dir, "customer"), {"c_mktsegment": "BUILDING", "listing_status": "Active"}).select("c_custkey", "c_mktsegment")
 
 
-@query("o029_signed_union", "SELECT event_type AS root, event_id, CASE WHEN user_id % 2 = 0 THEN value ELSE -value END AS signed FROM events WHERE event_type IN ('signup', 'click')")
+@query("o029_signed_union", """SELECT 'signup' AS root, event_id, CASE WHEN user_id % 2 = 0 THEN value ELSE -value END AS signed FROM events WHERE event_type = 'signup'
+UNION ALL SELECT 'click', event_id, CASE WHEN user_id % 2 = 0 THEN value ELSE -value END FROM events WHERE event_type = 'click'
+UNION ALL SELECT 'click', event_id, CASE WHEN user_id % 2 = 0 THEN value ELSE -value END FROM events WHERE event_type = 'click'""")
 def o029(spark, sf_dir):
-    e = s.table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "click"))
-    return e.select(F.col("event_type").alias("root"), "event_id", F.when(F.col("user_id") % 2 == 0, F.col("value")).otherwise(-F.col("value")).alias("signed"))
+    e, signed = s.table(spark, sf_dir, "events"), F.when(F.col("user_id") % 2 == 0, F.col("value")).otherwise(-F.col("value"))
+    signup, click = (e.where(F.col("event_type") == r).select(F.lit(r).alias("root"), "event_id", signed.alias("signed")) for r in ("signup", "click"))
+    return signup.unionByName(click).unionByName(click)
 
 
 @query("o030_linspace_rows", _sql(s.TRADES_SQL + """,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import math
+from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxbar.functions import series
+
 BAR_COLUMNS = ("timestamp", "symbol", "open", "high", "low", "close", "volume")
 
 
@@ -27,47 +29,77 @@ def read_bars(spark: SparkSession, path: str, kind: str = "parquet", renames: di
 def normalise_bars(raw: DataFrame, renames: dict[str, str] | None = None, symbol: str | None = None) -> DataFrame:
     """The bar columns with their types: missing open, high and low are the close, a missing volume is 0. Not sorted."""
     df = raw.withColumnsRenamed(renames or {})
-    if "symbol" not in df.columns and symbol is not None:
-        df = df.withColumn("symbol", F.lit(symbol))
-    for name in ("open", "high", "low"):
-        if name not in df.columns:
-            df = df.withColumn(name, F.col("close"))
-    if "volume" not in df.columns:
-        df = df.withColumn("volume", F.lit(0.0))
+    absent = dict.fromkeys(("open", "high", "low"), F.col("close")) | {"volume": F.lit(0.0)} | ({} if symbol is None else {"symbol": F.lit(symbol)})
     kinds = {"timestamp": "timestamp", "symbol": "string"}
-    return df.select(*[F.col(c).try_cast(kinds.get(c, "double")).alias(c) for c in BAR_COLUMNS])
+    return df.select(*[(F.col(c) if c in df.columns else absent.get(c, F.col(c))).try_cast(kinds.get(c, "double")).alias(c) for c in BAR_COLUMNS])
+
+
+def bar_checks(bars: DataFrame) -> DataFrame:
+    """One row: how many bars there are, have a price that is not over 0, a high under their low, and repeat a (symbol, timestamp)."""
+    prices = F.least("open", "high", "low", "close")
+    alone = bars.groupBy("symbol", "timestamp").agg(F.count(F.lit(1)).alias("n"), F.count_if(prices <= 0).alias("low"), F.count_if(F.col("high") < F.col("low")).alias("crossed"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return alone.agg(total("n").alias("bars"), total("low").alias("not_positive"), total("crossed").alias("crossed"), total(F.col("n") - 1).alias("repeated"))
 
 
 def validate_bars(bars: DataFrame) -> None:
-    """Raise on missing columns, no rows, repeated (symbol, timestamp), prices not over 0, or high under low. One pass and one grouped pass."""
+    """Raise on missing columns, no rows, or what bar_checks counts."""
     if missing := set(BAR_COLUMNS) - set(bars.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
-    prices = F.least("open", "high", "low", "close")
-    n, low, crossed = bars.agg(F.count(F.lit(1)), F.count_if(prices <= 0), F.count_if(F.col("high") < F.col("low"))).first()
-    if not n:
+    found = bar_checks(bars).first().asDict()
+    if not found.pop("bars"):
         raise ValueError("no bars")
-    if low:
-        raise ValueError(f"{low} bars have a price that is not over 0")
-    if crossed:
-        raise ValueError(f"{crossed} bars have a high under their low")
-    if not bars.groupBy("symbol", "timestamp").count().where("count > 1").isEmpty():
-        raise ValueError("repeated (symbol, timestamp)")
-
-
-def synthetic_bars(spark: SparkSession, symbol: str, start: str, end: str, seed: int = 0) -> DataFrame:
-    """Business-day bars from a seasonal drift and normal shocks; the same for the same seed."""
-    days, day = [], dt.date.fromisoformat(start)
-    while day <= dt.date.fromisoformat(end):
-        if day.weekday() < 5:
-            days.append(day)
-        day += dt.timedelta(1)
-    rng = np.random.default_rng(seed)
-    n = len(days)
-    close = 100 * np.cumprod(1 + 0.0003 + 0.002 * np.sin(np.arange(n) / 20) + rng.normal(0, 0.01, n))
-    open_ = close * (1 + rng.normal(0, 0.002, n))
-    high, low = np.maximum(open_, close) * (1 + rng.uniform(0, 0.004, n)), np.minimum(open_, close) * (1 - rng.uniform(0, 0.004, n))
-    rows = [(dt.datetime.combine(d, dt.time()), symbol, *map(float, x)) for d, *x in zip(days, open_, high, low, close, rng.integers(1000, 9999, n), strict=True)]
-    return spark.createDataFrame(rows, "timestamp timestamp, symbol string, open double, high double, low double, close double, volume double")
+    if wrong := {k: n for k, n in found.items() if n}:
+        raise ValueError(f"bars that are wrong: {wrong}")
+
+
+def noise(seed: int, part: str, day: Column) -> Column:
+    """A standard normal number for each day, the same wherever it is worked out: Box and Muller's transform of two hashes."""
+    unit = lambda k: (F.pmod(F.xxhash64(F.lit(f"{seed}:{part}:{k}"), day), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+    return F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * math.pi * unit(1))
+
+
+def synthetic_bars(spark: SparkSession, symbol: str, start: str, end: str, seed: int = 0, memory: int = 30) -> DataFrame:
+    """Business-day bars whose log price strays from that of 50 and comes back: a decaying sum of the last shocks.
+
+    Days open where the one before closed but for a gap, the range widens with a
+    day's own shocks, and volume follows the range. The same for the same seed.
+    """
+    days = spark.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS day").where(F.dayofweek("day").between(2, 6))
+    n, own = F.datediff("day", F.lit("1970-01-01").cast("date")), series(order="day")
+    shocks = F.collect_list(noise(seed, "shock", n)).over(own.rowsBetween(-memory, 0))
+    stray = F.aggregate(shocks, F.lit(0.0), lambda s, x: 0.9 * s + 0.012 * x)
+    df = days.select("day", n.alias("n"), F.exp(math.log(50.0) + stray).alias("close"))
+    df = df.withColumn("open", F.coalesce(F.lag("close").over(own), F.col("close")) * F.exp(0.002 * noise(seed, "gap", F.col("n"))))
+    up, down = (F.abs(noise(seed, side, F.col("n"))) * 0.004 for side in ("up", "down"))
+    df = df.withColumns({"high": F.greatest("open", "close") * F.exp(up), "low": F.least("open", "close") * F.exp(-down)})
+    volume = F.round(2000 * (1 + 40 * F.log(F.col("high") / F.col("low"))) * F.exp(0.2 * noise(seed, "volume", F.col("n"))))
+    return df.select(F.col("day").cast("timestamp").alias("timestamp"), F.lit(symbol).alias("symbol"), "open", "high", "low", "close", volume.alias("volume"))
+
+
+def load_roots(spark: SparkSession, folder: str, roots: list[str] | None = None) -> DataFrame:
+    """The Parquet files <root>.parquet of a folder as one table with their root; those asked for that are missing or empty add nothing.
+
+    Without a list all files of the folder are read. Columns that a file lacks are null.
+    """
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(files)
+    names = sorted(f.getPath().getName().removesuffix(".parquet") for f in found if f.getPath().getName().endswith(".parquet"))
+    out = None
+    for root in names if roots is None else [r for r in roots if r in names]:
+        own = spark.read.parquet(f"{folder}/{root}.parquet").withColumn("root", F.lit(root))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no table of {roots} in {folder}")
+    return out
+
+
+def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at the path, built and written there first if it isn't yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_sorted(df: DataFrame, path: str, keys: list[str], partitions: int | None = None) -> None:
@@ -117,7 +149,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour bars of each root: last price, volume, notional, signed notional and count."""
     return trades(spark, sf_dir).groupBy("root", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
-        F.max_by("price", "ts").alias("close"), F.sum("size").alias("volume"), F.sum("notional").alias("notional"),
+        F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("size").alias("volume"), F.sum("notional").alias("notional"),
         F.sum("signed").alias("signed"), F.count(F.lit(1)).alias("n"),
     )
 
@@ -141,7 +173,7 @@ trades AS (
          CASE k % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -1.0 ELSE 0.0 END::DOUBLE * ((100.0::DOUBLE + value / 10) * (1 + k % 5)) AS signed FROM raw)"""
 HOURLY_SQL = TRADES_SQL + """,
 hourly AS (
-  SELECT root, date_trunc('hour', ts) AS hour, arg_max(price, ts) AS close, sum(size) AS volume, sum(notional) AS notional, sum(signed) AS signed, count(*) AS n
+  SELECT root, date_trunc('hour', ts) AS hour, arg_max(price, (ts, seq)) AS close, sum(size) AS volume, sum(notional) AS notional, sum(signed) AS signed, count(*) AS n
   FROM trades GROUP BY 1, 2)"""
 QUOTES_SQL = TRADES_SQL + """,
 quotes AS (
