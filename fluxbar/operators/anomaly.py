@@ -247,3 +247,23 @@ def quantile_flags(df: DataFrame, x: str, quantiles: tuple[float, ...] = (0.9, 0
     for i, q in enumerate(quantiles):
         out = out.withColumn(f"{x}_q{round(q * 100)}", F.coalesce(F.col(x) >= F.element_at("__q", i + 1), F.lit(False)))
     return out.drop("__q")
+
+
+def entry_masks(df: DataFrame, keys: list[str], x: str, quantile: float) -> DataFrame:
+    """df with entry: whether x reaches the quantile of its own series over the whole sample; missing x is false."""
+    limits = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.percentile(x, F.lit(quantile)).alias("__q"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = df.join(limits, cond, "left").withColumn("entry", F.coalesce(F.col(x) >= F.col("__q"), F.lit(False)))
+    return out.drop("__q", *[f"__{k}" for k in keys])
+
+
+def anomaly_frame(df: DataFrame, keys: list[str], order: str, roots: list[str], window: int, least: int, half_life: float) -> DataFrame:
+    """The rolling, expanding, weighted and robust distances of each vector side by side, with the quantile flags of the rolling one."""
+    at = [*keys, order]
+    out = rolling_mahalanobis(df, keys, order, roots, window, least).withColumnRenamed("distance", "rolling")
+    out = out.join(rolling_mahalanobis(df, keys, order, roots, None, least).withColumnRenamed("distance", "expanding"), at)
+    out = out.join(ewma_mahalanobis(df, keys, order, roots, half_life, least).withColumnRenamed("distance", "weighted"), at)
+    out = out.join(robust_distance(df, roots).select(*at, F.col("distance").alias("robust")), at)
+    return quantile_flags(out, "rolling")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxbar.functions import div, series
+from fluxbar.operators.windows import rolling_z
 
 
 def shares(panel: DataFrame, bar: str, value: str) -> DataFrame:
@@ -50,3 +51,11 @@ def size_buckets(trades: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9, 0.
     for i in range(len(quantiles) - 1, -1, -1):
         bucket = F.when(F.col(value) <= F.element_at("__q", i + 1), names[i]).otherwise(bucket)
     return joined.withColumn("bucket", bucket).drop("__root", "__q")
+
+
+def features(panel: DataFrame, bar: str, value: str, signed: str, window: int, least: int) -> DataFrame:
+    """Each root's share, its velocity and its signed flow over the bar's total, and the z-score of each against its own last rows, this one included."""
+    w = series("root", order=bar)
+    df = shares(panel, bar, value).withColumn("flow", div(F.col(signed), F.nullif(F.sum(value).over(Window.partitionBy(bar)), F.lit(0.0))))
+    df = df.withColumn("velocity", F.col("share") - F.lag("share").over(w))
+    return df.withColumns({f"{c}_z": rolling_z(c, w, window, least) for c in ("share", "velocity", "flow")})

@@ -225,7 +225,8 @@ def experiment(frames: DataFrame, lookback: int, methods: dict[str, Rules], cost
     w, whole = series("pair", order="ts"), Window.partitionBy("pair")
     placed = frames.withColumn("__i", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(whole))
     train = F.col("__i") <= F.floor(F.col("__n") * train_share)
-    selection = placed.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.when(train, F.col("log_price_a")), F.when(train, F.col("log_price_b"))).alias("corr"))
+    placed = placed.withColumns({f"__train_{k}": F.when(train, F.col(f"log_price_{k}")) for k in ("a", "b")})
+    selection = placed.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), safe_corr("__train_a", "__train_b").alias("corr"))
     selection = selection.withColumn("selected", F.coalesce((F.col("n") >= least_rows) & (F.abs("corr") >= least_corr), F.lit(False)))
     kept = frames.join(selection.where("selected").select("pair"), "pair", "left_semi")
     ran = None

@@ -64,3 +64,15 @@ def portfolio(panel: DataFrame, on: str, ret: str, cost_bps: float, lag: int = 1
 def cost_variants(df: DataFrame, multipliers: list[float]) -> DataFrame:
     """Each row under each multiple of its cost."""
     return df.withColumn("multiplier", F.explode(F.array(*[F.lit(m) for m in multipliers]))).withColumn("net", F.col("gross") - F.col("cost") * F.col("multiplier"))
+
+
+def position_backtest(panel: DataFrame, on: str, ret: str, cost_bps: dict[str, float], otherwise: float, lag: int = 1) -> DataFrame:
+    """portfolio() with each root's own cost; roots that cost_bps doesn't name cost `otherwise`."""
+    own = F.lit(otherwise)
+    for root, bps in cost_bps.items():
+        own = F.when(F.col("root") == root, F.lit(float(bps))).otherwise(own)
+    w = series("root", order=on)
+    df = panel.withColumn("__turn", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(w), F.lit(0.0))))
+    cost = df.groupBy(on).agg(F.sum(F.col("__turn") * own / 1e4).alias("cost"))
+    done = portfolio(panel, on, ret, 0.0, lag).drop("cost", "net").join(cost, on)
+    return done.withColumn("net", F.col("gross") - F.col("cost"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxbar.functions import div, safe_corr
+from fluxbar.functions import div, safe_corr, series
 from fluxbar.operators.windows import average_rank, deciles
 
 
@@ -189,3 +189,20 @@ def day_bootstrap(daily: DataFrame, x: str, iterations: int = 2000, block: int =
     at = (starts[:, :, None] + np.arange(block)).reshape(iterations, -1)[:, : len(v)] % len(v)
     sums = v[at].sum(1)
     return {"observed": float(v.sum())} | {f"p{q:02}": float(np.percentile(sums, q)) for q in (5, 50, 95)}
+
+
+def rows_a_year(order: str) -> Column:
+    """Rows of a group over the years (of 365.25 days) from its first time to its last."""
+    us = F.unix_micros(F.col(order).cast("timestamp"))
+    return F.count(F.lit(1)) / F.greatest((F.max(us) - F.min(us)) / F.lit(365.25 * 86400e6), F.lit(1e-9))
+
+
+def metric_block(df: DataFrame, keys: list[str], order: str, x: str) -> DataFrame:
+    """n, compounded log returns, volatility and Sharpe ratio by the rows a year that elapsed time gives, drawdown, and the 95 % quantile of the moves' sizes."""
+    past = series(*keys, order=order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__sum", F.sum(x).over(past)).withColumn("__top", F.max("__sum").over(past))
+    sd = F.nullif(F.stddev_samp(x), F.lit(0.0))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.expm1(F.sum(x)).alias("compounded"), (sd * F.sqrt(rows_a_year(order))).alias("volatility"), (F.avg(x) / sd * F.sqrt(rows_a_year(order))).alias("sharpe"),
+        F.min(F.expm1(F.col("__sum") - F.col("__top"))).alias("drawdown"), F.percentile(F.abs(x), 0.95).alias("move_q95"),
+    )

@@ -6,9 +6,11 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fluxbar import sources
-from fluxbar.operators import backtest
+from fluxbar.functions import series
+from fluxbar.operators import anomaly, backtest, flow, pairs, studies
 
 #: What a config may hold; every value of strategy and backtest.cost_bps must be given.
 SECTIONS = {
@@ -68,3 +70,45 @@ def run_experiment(spark: SparkSession, config: dict) -> DataFrame:
     written = spark.read.schema(ran.schema).parquet(f"{folder}/equity")
     backtest.metrics(written, b.get("per_year", 252), b.get("capital", 1.0), order="timestamp").write.parquet(f"{folder}/metrics")
     return spark.read.parquet(f"{folder}/metrics")
+
+
+def run_pairs(frames: DataFrame, config: dict, folder: str | None = None) -> dict[str, DataFrame]:
+    """selection, metrics and portfolio of a pairs config; with a folder they are written there, as Parquet and the metrics as JSON too.
+
+    config: lookback, methods (name to the fields of pairs.Rules), cost_bps, per_year,
+    train_share, least_rows, least_corr and, if not 1e-6, ridge. Unknown keys raise.
+    """
+    known = {"lookback", "methods", "cost_bps", "per_year", "train_share", "least_rows", "least_corr", "ridge"}
+    if unknown := set(config) - known:
+        raise ValueError(f"unknown keys: {sorted(unknown)}")
+    methods = {name: pairs.Rules(**rules) for name, rules in config["methods"].items()}
+    got = pairs.experiment(frames, methods=methods, **{k: v for k, v in config.items() if k != "methods"})
+    tables = dict(zip(("selection", "metrics", "portfolio"), got, strict=True))
+    return tables if folder is None else written(tables, folder, ("metrics",))
+
+
+def written(tables: dict[str, DataFrame], folder: str, as_json: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The tables as written to the folder as Parquet; those of as_json are written as JSON and CSV too."""
+    out = {}
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}")
+        out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+        if name in as_json:
+            out[name].write.json(f"{folder}/{name}-json")
+            out[name].write.option("header", True).csv(f"{folder}/{name}-csv")
+    return out
+
+
+def leaderboard(spark: SparkSession, folder: str, by: str, n: int = 10) -> DataFrame:
+    """The best rows by a column over all metrics that experiments wrote as JSON below the folder, with where they come from."""
+    rows = spark.read.json(f"{folder}/*/metrics-json").withColumn("path", F.input_file_name())
+    return rows.orderBy(F.desc(by), "path").limit(n)
+
+
+def flow_research(panel: DataFrame, roots: list[str], bar: str, window: int, least: int, quantile: float, horizon: int) -> dict[str, DataFrame]:
+    """features of a panel (root, bar, close, notional, signed), their concentration by bar, entries of extreme flow, and the study of returns after them."""
+    w = series("root", order=bar)
+    found = flow.features(panel, bar, "notional", "signed", window, least).withColumn("strength", F.abs("flow"))
+    marked = anomaly.entry_masks(found, ["root"], "strength", quantile)
+    ahead = marked.withColumn("forward", F.lead(F.log("close"), horizon).over(w) - F.log("close"))
+    return {"features": found, "concentration": flow.concentration(found, bar, roots), "entries": marked, "study": studies.threshold_study(ahead, ["root"], "entry", "forward")}
