@@ -3,23 +3,26 @@
 The block structure of each page is a tree in which repeated equal siblings count
 once. The trees of a host's pages are aligned by simple tree matching and merged
 to one template; a page's blocks so get slots of the template. A text that most
-different pages of the host have in the same slot belongs to the template, and
-what varies is content. Elements that say what they are (navigation, forms,
-comments, adverts, ...) are left out whatever they hold.
+different pages of the host have in the same slot belongs to the template; slots
+whose texts vary hold content, and the template's smallest subtree with most of the
+varying text is where a page's main text is taken from. Elements that say what
+they are (navigation, forms, comments, adverts, ...) are left out whatever they
+hold. Hosts with too few different pages have no template: there <article> and
+<main> decide.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxbar.llm.common import map_batches, materialize, pieces, struct
+from fluxbar.llm.common import join_to_few, map_batches, materialize, struct
 
 #: Element names of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,7 +46,13 @@ WORDS = frozenset(
     "ad ads adsense adslot adunit banner promo promoted nav navi menu submenu footer masthead topbar toolbar sidebar rail widget widgets share sharing social sharebar related recommended more trending popular tags taglist pagination pager skip hidden popup modal overlay notice notices alert consent gdpr login signin signup search subscribe reply replies respond discussion disqus byline teaser".split()
 )
 STEMS = ("advert", "sponsor", "comment", "breadcrumb", "newsletter", "cookie", "navbar", "navigation", "sidebar", "outbrain", "taboola", "googlead")
+#: Words that say nothing against the others of a class name or id.
+NEUTRAL = frozenset(
+    "box list block container wrapper wrap inner outer section area item items button buttons bar form post posts link links slot unit story stories article articles content user icon icons row col column group panel body text title header main left right top bottom sticky float inline small large mobile desktop print js is has count feed link label entry".split()
+)
 MOST_DEPTH = 256
+#: Pairs of siblings compared in a table; more are aligned in order, key by key.
+MOST_CELLS = 40_000
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -60,7 +69,15 @@ def _named(attributes: dict[str, str]) -> set[str]:
     return {w.lower() for key in ("class", "id") for w in _WORDS.findall(attributes.get(key, ""))}
 
 
-def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
+def _says_unwanted(name: str) -> bool:
+    """Whether a class or id names what isn't the article and nothing else: popular-posts does, popular-science doesn't."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    named = [w for w in words if w in WORDS or w.startswith(STEMS)]
+    return bool(named) and all(w in WORDS or w.startswith(STEMS) or w in NEUTRAL or w.isdigit() or len(w) == 1 for w in words)
+
+
+def _unwanted(tag: str, attributes: dict[str, str], within: bool = False) -> bool:
+    """within: the element lies in an article, where a word of a name must not be that of a subject."""
     if tag in DROPPED:
         return True
     if not attributes or tag in ("html", "body", "main"):
@@ -68,6 +85,8 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
     words = _named(attributes)
     if tag == "article":
         return any(w.startswith("comment") or w in ("teaser", "related") for w in words)
+    if within and not any(_says_unwanted(x) for key in ("class", "id") for x in attributes.get(key, "").split()):
+        words = set()
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
     if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
@@ -75,48 +94,48 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
     return any(w in WORDS or w.startswith(STEMS) for w in words)
 
 
-class Page:
-    """Blocks of a page in order: (node, text, main, linked), and its block structure.
+#: Bits of a block's kind: unwanted; mostly links; within main; within an article.
+UNWANTED, LINKED, MAIN, ARTICLE = 1, 2, 4, 8
 
-    main: 2 within an article, 1 within main, 0 elsewhere; linked: the share of the
-    block's characters within links. Blocks of unwanted elements are left out;
-    of a header within the article headings stay.
-    """
+
+class Page:
+    """Blocks of a page in order: (node, text, kind), and its block structure. Of a header within the article headings are wanted."""
 
     def __init__(self, html: str):
-        self.keys, self.parents, self.blocks, self.title = [""], [-1], [], ""
-        # Of each open element: tag, node of its block, unwanted, main, within a header.
-        stack = [("", 0, False, 0, False)]
-        opened: dict[str, int] = {}
+        self.keys, self.parents, self.blocks = [""], [-1], []
+        # Of each open element: tag, node of its block, unwanted (2: in a line), main, within a header.
+        stack = [("", 0, 0, 0, False)]
+        places: dict[str, list[int]] = {}
         buffer: list[str] = []
         linked = [0, 0]
 
+        def last(tags) -> int:
+            """Place of the innermost open element of these names, 0 if there is none."""
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         def flush():
             if buffer:
                 text = " ".join("".join(buffer).split())
                 if text:
                     _, node, unwanted, main, header = stack[-1]
-                    if not unwanted and not (header and stack_heading() is None):
-                        self.blocks.append((node, text, main, linked[0] / max(1, linked[1])))
+                    kind = UNWANTED * bool(unwanted or (header and not last(HEADINGS))) + LINKED * (2 * linked[0] > max(1, linked[1])) + (0, MAIN, ARTICLE)[main]
+                    self.blocks.append((node, text, kind))
                 buffer.clear()
             linked[0] = linked[1] = 0
 
-        def stack_heading():
-            return next((x[0] for x in reversed(stack) if x[0] in HEADINGS), None)
-
         def say(text: str):
-            if text and not stack[-1][2]:
+            if text and stack[-1][2] != 2:
                 if "&" in text:
                     text = entities.unescape(text)
                 buffer.append(text)
                 linked[1] += len(text)
-                linked[0] += len(text) * (opened.get("a", 0) > 0)
+                linked[0] += len(text) * bool(places.get("a"))
 
         def close_to(at: int):
             if any(x[0] in BLOCK for x in stack[at:]):
                 flush()
             for x in stack[at:]:
-                opened[x[0]] -= 1
+                places[x[0]].pop()
             del stack[at:]
 
         at = 0
@@ -134,51 +153,47 @@ class Page:
             if closing:
                 if tag == "br":
                     buffer.append(" ")
-                elif opened.get(tag):
-                    close_to(max(i for i, x in enumerate(stack) if x[0] == tag))
+                elif places.get(tag):
+                    close_to(places[tag][-1])
                 elif tag in BLOCK:
                     flush()
                 continue
-            if tag in ENDS_P and opened.get("p"):
-                i = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if not any(x[0] in ("td", "th", "button", "table", "object") for x in stack[i:]):
-                    close_to(i)
-            if tag in ENDS and any(opened.get(x) for x in ENDS[tag][0]):
+            if tag in ENDS_P and places.get("p") and last(("td", "th", "button", "table", "object")) < places["p"][-1]:
+                close_to(places["p"][-1])
+            if tag in ENDS:
                 ended, until = ENDS[tag]
-                i = len(stack) - 1
-                while i and stack[i][0] not in until:
-                    if stack[i][0] in ended:
-                        close_to(i)
-                    i -= 1
+                while (inner := last(ended)) > last(until):
+                    close_to(inner)
             if tag in BLOCK:
                 flush()
             if tag in VOID:
-                buffer.append(" " if tag in ("br", "wbr", "img") and tag != "wbr" else "")
+                buffer.append(" " if tag in ("br", "img") else "")
                 continue
             _, node, unwanted, main, header = stack[-1]
             attributes = _attributes(rest)
-            unwanted = unwanted or _unwanted(tag, attributes)
+            if not unwanted and _unwanted(tag, attributes, main == 2):
+                # An unwanted block is still one of the page; what an unwanted part of a line holds is no text at all.
+                unwanted = 1 if tag in BLOCK else 2
             if tag == "header" or (tag not in ("body", "html", "main", "article") and "header" in _named(attributes)):
-                header, unwanted = True, unwanted or not main
+                header, unwanted = True, unwanted or int(not main)
             if tag == "article" or attributes.get("itemprop", "").lower() == "articlebody":
                 main = 2
             elif tag == "main" or attributes.get("role", "").lower() == "main":
                 main = max(main, 1)
             if tag in BLOCK and len(stack) < MOST_DEPTH:
-                self.keys.append(f"{tag}.{'.'.join(sorted(attributes.get('class', '').split()))}#{attributes.get('id', '')}" if attributes else tag)
+                # Without the id: rows with ids of their own are rows of one kind.
+                self.keys.append(f"{tag}.{'.'.join(sorted(attributes.get('class', '').split()))}" if attributes.get("class") else tag)
                 self.parents.append(node)
                 node = len(self.keys) - 1
             if tag in RAW:
                 ended = _RAW_END[tag].search(html, at)
                 end = ended.start() if ended else len(html)
-                if tag == "title" and not self.title:
-                    self.title = " ".join(entities.unescape(html[at:end]).split())
                 close = html.find(">", end)
                 at = len(html) if close < 0 else close + 1
                 continue
             if not rest.endswith("/") or tag in BLOCK or tag in ("a", "b", "i", "span", "em", "strong"):
+                places.setdefault(tag, []).append(len(stack))
                 stack.append((tag, node, unwanted, main, header))
-                opened[tag] = opened.get(tag, 0) + 1
         flush()
 
     def shape(self) -> tuple[str, np.ndarray]:
@@ -232,42 +247,79 @@ class Template:
                 self.children[int(parent)].append(len(self.keys) - 1)
 
     def match(self, other: Template) -> dict[int, int]:
-        """Node of other -> node here, by simple tree matching: the most pairs of nodes with equal keys, order and parents kept."""
+        """Node of other -> node here, by simple tree matching: the most pairs of nodes with equal keys, order and parents kept.
+
+        Siblings that agree from the front are paired at once, and so are those from
+        the back; the table is for what lies between. Where that has over MOST_CELLS
+        pairs, each sibling takes the next one of its key.
+        """
         weight: dict[tuple[int, int], int] = {}
-        tables: dict[tuple[int, int], np.ndarray] = {}
+        plans: dict[tuple[int, int], tuple] = {}
         todo = [(0, 0, False)]
         while todo:
             a, b, ready = todo.pop()
             if (a, b) in weight:
                 continue
-            mine, theirs = self.children[a], other.children[b]
-            pairs = [(x, y) for x in mine for y in theirs if self.keys[x] == other.keys[y]]
             if not ready:
+                plans[a, b] = plan = self._plan(self.children[a], other.children[b], other.keys)
                 todo.append((a, b, True))
-                todo += [(x, y, False) for x, y in pairs if (x, y) not in weight]
+                todo += [(x, y, False) for x, y in (*plan[0], *plan[1]) if (x, y) not in weight]
                 continue
-            m = np.zeros((len(mine) + 1, len(theirs) + 1), np.int64)
-            for i, x in enumerate(mine, 1):
-                for j, y in enumerate(theirs, 1):
-                    w = weight.get((x, y), 0) if self.keys[x] == other.keys[y] else 0
-                    m[i, j] = max(m[i - 1, j], m[i, j - 1], m[i - 1, j - 1] + w)
-            weight[a, b], tables[a, b] = int(m[-1, -1]) + 1, m
+            sure, maybe, mine, theirs = plans[a, b]
+            table = None
+            if maybe:
+                table = np.zeros((len(mine) + 1, len(theirs) + 1), np.int32)
+                row, column = {x: i for i, x in enumerate(mine)}, {y: j for j, y in enumerate(theirs)}
+                worth = np.zeros((len(mine), len(theirs)), np.int32)
+                for x, y in maybe:
+                    worth[row[x], column[y]] = weight[x, y]
+                for i in range(len(mine)):
+                    best = np.maximum(table[i, 1:], table[i, :-1] + worth[i])
+                    table[i + 1, 1:] = np.maximum.accumulate(best)
+            weight[a, b] = 1 + sum(weight[p] for p in sure) + (int(table[-1, -1]) if maybe else 0)
+            plans[a, b] = sure, mine, theirs, table
         out, todo = {0: 0}, [(0, 0)]
         while todo:
-            a, b = todo.pop()
-            m, mine, theirs = tables[a, b], self.children[a], other.children[b]
-            i, j = len(mine), len(theirs)
+            sure, mine, theirs, table = plans[todo.pop()]
+            pairs = list(sure)
+            i, j = (len(mine), len(theirs)) if table is not None else (0, 0)
             while i and j:
-                if m[i, j] == m[i - 1, j]:
+                if table[i, j] == table[i - 1, j]:
                     i -= 1
-                elif m[i, j] == m[i, j - 1]:
+                elif table[i, j] == table[i, j - 1]:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
-                    out[theirs[j]] = mine[i]
-                    todo.append((mine[i], theirs[j]))
+                    pairs.append((mine[i], theirs[j]))
+            for x, y in pairs:
+                out[y] = x
+                todo.append((x, y))
         return out
 
+    def _plan(self, mine: list[int], theirs: list[int], keys: list[str]) -> tuple[list, list, list, list]:
+        """Pairs that are sure, pairs to weigh, and the siblings between which these lie."""
+        low, most = 0, min(len(mine), len(theirs))
+        while low < most and self.keys[mine[low]] == keys[theirs[low]]:
+            low += 1
+        high = 0
+        while high < most - low and self.keys[mine[-1 - high]] == keys[theirs[-1 - high]]:
+            high += 1
+        sure = [*zip(mine[:low], theirs[:low], strict=True), *zip(mine[len(mine) - high :], theirs[len(theirs) - high :], strict=True)]
+        mine, theirs = mine[low : len(mine) - high], theirs[low : len(theirs) - high]
+        if len(mine) * len(theirs) <= MOST_CELLS:
+            return sure, [(x, y) for x in mine for y in theirs if self.keys[x] == keys[y]], mine, theirs
+        where: dict[str, list[int]] = {}
+        for i, x in enumerate(mine):
+            where.setdefault(self.keys[x], []).append(i)
+        at = 0
+        for y in theirs:
+            own = where.get(keys[y], [])
+            k = bisect_left(own, at)
+            if k < len(own):
+                sure.append((mine[own[k]], y))
+                at = own[k] + 1
+        return sure, [], mine, theirs
+
     def merge(self, other: Template) -> None:
         """Add what of other has no partner here, after its nearest aligned sibling."""
         partner = self.match(other)
@@ -322,72 +374,115 @@ def _own(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
 
 
-def select_blocks(page: Page, template: frozenset[int]) -> list[str]:
-    """The article: the blocks within articles, else those within main, else all that aren't mostly links; without those at template's positions."""
-    main = max((b[2] for b in page.blocks), default=0)
-    return [b[1] for i, b in enumerate(page.blocks) if i not in template and (b[2] == main if main else b[3] <= 0.5)]
+def by_tags(kinds: list[int]) -> list[int]:
+    """The wanted blocks within articles, else those within main, else all that aren't mostly links."""
+    main = max((k & (MAIN | ARTICLE) for k in kinds if not k & UNWANTED), default=0)
+    return [i for i, k in enumerate(kinds) if not k & UNWANTED and (k & (MAIN | ARTICLE) == main if main else not k & LINKED)]
 
 
-def template_blocks(own: DataFrame, min_pages: int = 3, min_share: float = 0.5, salts: int = 32) -> DataFrame:
-    """(page_id, body, positions): the blocks of each page whose text its host's template holds.
+def by_template(kinds: list[int], slots: list[int], hashes: list[int], region: set[int], fixed: set[tuple[int, int]]) -> list[int]:
+    """The wanted blocks in the region's slots whose text isn't the template's; links beyond articles go. A page without any there is read by its tags."""
+    free = [i for i, (s, h) in enumerate(zip(slots, hashes, strict=True)) if (s, h) not in fixed]
+    kept = [i for i in free if slots[i] in region and not kinds[i] & UNWANTED and (kinds[i] & (MAIN | ARTICLE) or not kinds[i] & LINKED)]
+    return kept or [i for i in by_tags(kinds) if i in set(free)]
 
-    A text belongs to the template if pages with min_pages different titles and
-    min_share of all titles of the host have it in the same slot. Copies of a page
-    have one title, so they don't make a template.
-    """
 
-    def read(batch):
-        out = {c: [] for c in ("page_id", "host", "body", "shape", "title", "nodes", "texts")}
-        out["page_id"], out["host"] = batch.column(0), batch.column(1)
-        for text in batch.column(2).to_pylist():
-            page = Page(text)
-            shape, place = page.shape()
-            out["body"].append(_hash(text))
-            out["shape"].append(shape)
-            out["title"].append(_hash(page.title or (page.blocks[0][1] if page.blocks else "")))
-            out["nodes"].append([int(place[b[0]]) for b in page.blocks])
-            out["texts"].append([_hash(b[1]) for b in page.blocks])
-        yield out
+def content_region(template: str, slots: list[int], mass: list[float], share: float = 0.8) -> list[int]:
+    """The nodes of the template's smallest subtree that holds `share` of the mass, on the way down from the root.
 
-    schema = struct("page_id long, host string, body long, shape string, title long, nodes array<int>, texts array<long>")
-    read_ = map_batches(own.select("page_id", "host", "html"), read, schema).withColumn("form", F.xxhash64("shape"))
-    read_ = materialize(read_, "pages-read")
-    shapes = materialize(read_.groupBy("host", "form").agg(F.max("shape").alias("shape")), "shapes")
+    The way ends where text stands beside: in the node itself, or in a child without
+    children of its own, such as a heading or a paragraph.
+    """
+    tree = Template(template)
+    total = np.zeros(len(tree.keys))
+    for slot, m in zip(slots, mass, strict=True):
+        total[slot] += m
+    order, todo = [], [0]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += tree.children[node]
+    below = total.copy()
+    for node in reversed(order):
+        below[node] += below[tree.children[node]].sum()
+    node, most = 0, below[0]
+    while most > 0 and not total[node] and not any(total[c] and not tree.children[c] for c in tree.children[node]):
+        best = max(tree.children[node], key=lambda c: below[c], default=None)
+        if best is None or below[best] < share * most:
+            break
+        node = best
+    out, todo = [], [node]
+    while todo:
+        out.append(todo.pop())
+        todo += tree.children[out[-1]]
+    return sorted(out)
+
+
+def wrappers(read_: DataFrame, min_pages: int = 3, min_share: float = 0.5, fan: int = 32) -> DataFrame:
+    """(form_key, n, slots, region, fixed_slots, fixed_texts) of each shape of a host's pages; region is null for hosts of fewer than min_pages different pages.
+
+    A text belongs to the template if min_pages different pages and min_share of all
+    of the host have it in the same slot. Pages whose three longest blocks are alike
+    are copies and count once. The shapes of a host are merged `fan` at a time, round by round. A
+    host has 2 / min_share such texts at most for each block of a page.
+    """
+    shapes = materialize(read_.groupBy("host", "form_key").agg(F.max("shape").alias("shape"), F.count(F.lit(1)).alias("n")), "shapes")
 
     def fold(key, rows):
         import pandas as pd
 
         return pd.DataFrame({"host": [key[0]], "shape": [induce(rows["shape"].tolist())]})
 
-    parts = shapes.withColumn("salt", F.pmod("form", F.lit(salts))).groupBy("host", "salt").applyInPandas(fold, "host string, shape string")
-    templates = parts.groupBy("host").applyInPandas(fold, "host string, shape string").withColumnRenamed("shape", "template").withColumnRenamed("host", "t_host")
+    left = shapes.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    parts = shapes.select("host", "shape")
+    while left > fan:
+        left = -(-left // fan)
+        parts = parts.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(left))).groupBy("host", "salt").applyInPandas(fold, "host string, shape string")
+        parts = materialize(parts, "template-parts")
+    templates = materialize(parts.groupBy("host").applyInPandas(fold, "host string, shape string").select(F.col("host").alias("t_host"), F.col("shape").alias("template")), "templates")
 
     def align(batch):
         known: dict[str, Template] = {}
         slots = []
-        for shape, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for shape, template in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             own, other = known.setdefault(template, Template(template)), Template(shape)
             partner = own.match(other)
             slots.append([partner.get(i, -1) for i in range(len(other.keys))])
-        yield {"s_host": batch.column(0), "s_form": batch.column(1), "slots": slots}
+        yield {"host": batch.column(0), "form_key": batch.column(1), "n": batch.column(2), "slots": slots}
+
+    aligned = shapes.join(templates, shapes["host"] == templates["t_host"]).select("host", "form_key", "n", "shape", "template")
+    slots = materialize(map_batches(aligned, align, struct("host string, form_key long, n long, slots array<int>")), "slots")
 
-    aligned = shapes.join(templates, shapes["host"] == templates["t_host"]).select("host", "form", "shape", "template")
-    slots = materialize(map_batches(aligned, align, struct("s_host string, s_form long, slots array<int>")), "slots")
-    joined = read_.join(slots, (F.col("host") == F.col("s_host")) & (F.col("form") == F.col("s_form")))
-    each = joined.select("host", "title", "page_id", "body", F.posexplode(F.arrays_zip("nodes", "texts")).alias("at", "b"), "slots")
-    each = each.select("host", "title", "page_id", "body", "at", F.element_at("slots", F.col("b.nodes") + 1).alias("slot"), F.col("b.texts").alias("text"))
-    counts = each.select("host", "slot", "text", "title").distinct().groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    totals = read_.select("host", "title").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("titles")).withColumnRenamed("host", "n_host")
-    fixed = counts.join(totals, counts["host"] == totals["n_host"]).where(F.col("n") >= min_share * F.col("titles"))
-    fixed = materialize(fixed.select("host", "slot", "text"), "template-texts")
-    return each.join(fixed, ["host", "slot", "text"]).groupBy("page_id", "body").agg(F.sort_array(F.collect_set("at")).alias("positions"))
+    pages = read_.count()
+    narrow = join_to_few(read_.select("host", "form_key", "content", "nodes", "hashes", "sizes", "kinds"), slots.drop("host"), "form_key", "n", pages)
+    each = narrow.select("host", "content", "slots", F.explode(F.arrays_zip("nodes", "hashes", "sizes", "kinds")).alias("b"))
+    each = each.select("host", "content", F.element_at("slots", F.col("b.nodes") + 1).alias("slot"), F.col("b.hashes").alias("text"), F.col("b.sizes").alias("size"), F.col("b.kinds").alias("kind"))
+    # What weighs in a slot: the wanted text that isn't mostly links, twice within main and three times within an article.
+    weight = F.when((F.col("kind").bitwiseAND(UNWANTED) == 0) & ((F.col("kind") >= MAIN) | (F.col("kind").bitwiseAND(LINKED) == 0)), F.col("size") * F.when(F.col("kind") >= ARTICLE, 3).when(F.col("kind") >= MAIN, 2).otherwise(1)).otherwise(0)
+    texts = each.groupBy("host", "slot", "text", "content").agg(F.sum(weight).alias("mass")).groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("pages"), F.sum("mass").alias("mass"))
+    texts = materialize(texts, "slot-texts")
+    totals = read_.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("different")).withColumnRenamed("host", "n_host")
+    is_fixed = (F.col("pages") >= min_pages) & (F.col("pages") >= min_share * F.col("different"))
+    marked = texts.join(totals, F.col("host") == F.col("n_host")).withColumn("fixed", is_fixed)
+    varying = marked.groupBy("host", "slot").agg(F.sum(F.when(~F.col("fixed"), F.col("mass")).otherwise(0)).cast("double").alias("mass"), F.max("different").alias("different"))
+    varying = varying.where((F.col("mass") > 0) & (F.col("slot") >= 0) & (F.col("different") >= min_pages)).groupBy("host").agg(F.collect_list("slot").alias("at"), F.collect_list("mass").alias("mass"))
+    fixed = marked.where("fixed").groupBy(F.col("host").alias("f_host")).agg(F.collect_list("slot").alias("fixed_slots"), F.collect_list("text").alias("fixed_texts"))
 
+    def choose(batch):
+        rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)
+        yield {"r_host": batch.column(0), "region": [content_region(*row) for row in rows]}
 
-SCHEMA = struct("page_id long, url string, text string, n_chars long, n_template int")
+    regions = map_batches(varying.join(templates, F.col("host") == F.col("t_host")).select("host", "template", "at", "mass"), choose, struct("r_host string, region array<int>"))
+    hosts = materialize(regions.join(fixed, F.col("r_host") == F.col("f_host"), "left").drop("f_host"), "regions")
+    return materialize(slots.join(hosts, F.col("host") == F.col("r_host"), "left").select("form_key", "n", "slots", "region", "fixed_slots", "fixed_texts"), "wrappers")
 
 
-def extract_main_text(pages: DataFrame, broadcast_rows: int = 20_000, **how) -> DataFrame:
-    """One row for each row of pages: page_id, url, text, its length in code points, and how many blocks went to the template.
+READ = struct("page_id long, url string, host string, shape string, content long, nodes array<int>, texts array<string>, hashes array<long>, sizes array<int>, kinds array<int>")
+SCHEMA = struct("page_id long, url string, text string, n_chars long, n_template int, by_template boolean")
+
+
+def extract_main_text(pages: DataFrame, **how) -> DataFrame:
+    """One row for each row of pages: page_id, url, text, its length in code points, how many blocks went to the template, and whether a template chose.
 
     The whole html is read. Character references are decoded, white space within a
     block becomes one space, blocks are joined by a line feed. Null or empty html
@@ -395,33 +490,47 @@ def extract_main_text(pages: DataFrame, broadcast_rows: int = 20_000, **how) ->
     rows that repeat a page give repeated results; other columns are ignored. Elements
     nested deeper than MOST_DEPTH count as part of the block around them.
     """
-    own = _own(pages)
-    found = materialize(template_blocks(own, **how), "template-blocks")
-
-    def run(batches):
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_template", pa.int32())])
-        for batch in batches:
-            for part in pieces(batch):
-                positions = part.column(3).to_pylist() if part.num_columns > 3 else [None] * part.num_rows
-                texts = ["\n".join(select_blocks(Page(h), frozenset(p or ()))) for h, p in zip(part.column(2).to_pylist(), positions, strict=True)]
-                cols = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(p or ()) for p in positions], pa.int32())]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-    n = found.count()
-    if not n:
-        return own.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
-    body = _body(own)
-    found = found.withColumnRenamed("page_id", "f_id").withColumnRenamed("body", "f_body")
-    found = F.broadcast(found) if n <= broadcast_rows else found
-    joined = body.join(found, body["page_id"].eqNullSafe(found["f_id"]) & (body["body"] == found["f_body"]), "left")
-    return joined.select("page_id", "url", "html", "positions").mapInArrow(run, SCHEMA)
-
-
-def _body(own: DataFrame) -> DataFrame:
-    """own with the hash that tells apart pages of one page_id."""
-
-    @F.pandas_udf("long")
-    def of(html):
-        return html.map(_hash)
-
-    return own.withColumn("body", of("html"))
+
+    def read(batch):
+        out = {c: [] for c in READ.names}
+        out["page_id"], out["url"], out["host"] = batch.column(0), batch.column(1), batch.column(2)
+        for text in batch.column(3).to_pylist():
+            page = Page(text)
+            shape, place = page.shape()
+            out["shape"].append(shape)
+            out["nodes"].append([int(place[b[0]]) for b in page.blocks])
+            out["texts"].append([b[1] for b in page.blocks])
+            out["hashes"].append([_hash(b[1]) for b in page.blocks])
+            out["sizes"].append([len(b[1]) for b in page.blocks])
+            out["kinds"].append([b[2] for b in page.blocks])
+            # Pages whose longest blocks are the same are taken for copies.
+            longest = sorted({b[1] for b in page.blocks if not b[2] & UNWANTED}, key=lambda x: (-len(x), x))[:3]
+            out["content"].append(_hash("\n".join(longest)))
+        yield out
+
+    read_ = map_batches(_own(pages), read, READ).withColumn("form_key", F.xxhash64("host", "shape"))
+    read_ = materialize(read_, "pages-read")
+    found = wrappers(read_, **how)
+
+    def write(batch):
+        n_texts, names = batch.num_rows, ("page_id", "url", "nodes", "texts", "hashes", "kinds", "slots", "region", "fixed_slots", "fixed_texts")
+        col = {c: batch.column(k).to_pylist() if k > 1 else batch.column(k) for k, c in enumerate(names)}
+        out = {"page_id": col["page_id"], "url": col["url"], "text": [], "n_chars": [], "n_template": [], "by_template": []}
+        for r in range(n_texts):
+            kinds, texts = col["kinds"][r], col["texts"][r]
+            if col["region"][r] is None:
+                kept, left = by_tags(kinds), 0
+            else:
+                slots = [col["slots"][r][k] for k in col["nodes"][r]]
+                fixed = set(zip(col["fixed_slots"][r] or (), col["fixed_texts"][r] or (), strict=True))
+                kept = by_template(kinds, slots, col["hashes"][r], set(col["region"][r]), fixed)
+                left = len(texts) - len(kept)
+            text = "\n".join(texts[i] for i in kept)
+            out["text"].append(text)
+            out["n_chars"].append(len(text))
+            out["n_template"].append(left)
+            out["by_template"].append(col["region"][r] is not None)
+        yield out
+
+    joined = join_to_few(read_.select("page_id", "url", "nodes", "texts", "hashes", "kinds", "form_key"), found, "form_key", "n", read_.count())
+    return map_batches(joined.drop("form_key"), write, SCHEMA)
