@@ -11,13 +11,13 @@ wanted recall.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from fluxbar.llm.common import materialize, struct
 from fluxbar.llm.vectors import distinct_vectors, for_each_query, matrix
@@ -77,19 +77,19 @@ class Tree:
                     todo.append((child, own))
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves in the order of the priority queue."""
+    def visits(self, query: np.ndarray) -> Iterator[int]:
+        """All leaves in the order of the priority queue, worked out as far as they are asked for."""
         if not self.centres:
-            return [0][:most]
-        out, queue = [], [(0.0, 0)]
-        while queue and len(out) < most:
+            yield 0
+            return
+        queue = [(0.0, 0)]
+        while queue:
             _, node = heapq.heappop(queue)
             if node < 0:
-                out.append(-1 - node)
+                yield -1 - node
             else:
-                for d, child in zip(_distances(query[None], self.centres[node])[0], self.children[node], strict=True):
-                    heapq.heappush(queue, (float(d), child))
-        return out
+                for d, child in zip(_distances(query[None], self.centres[node])[0].tolist(), self.children[node], strict=True):
+                    heapq.heappush(queue, (d, child))
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -124,9 +124,48 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
+class Tops:
+    """The k best (score, smaller id first) of many queries so far. Candidates are gathered and cut to size now and then."""
+
+    def __init__(self, queries: int, k: int, most: int = 200_000):
+        self.k, self.most, self.least = k, most, np.full(queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """scores: of the queries (rows) with some vectors (columns); rows: the vectors' numbers; ids: all vectors' ids end to end, counts of them each."""
+        q, v = np.nonzero(scores >= self.least[queries][:, None])
+        if not len(q):
+            return
+        n = counts[rows[v]]
+        start = np.cumsum(counts) - counts
+        ends = np.cumsum(n)
+        each = np.repeat(start[rows[v]] - ends + n, n) + np.arange(ends[-1])
+        self.parts.append((np.repeat(queries[q], n), np.repeat(scores[q, v], n), ids[each]))
+        self.held += int(ends[-1])
+        if self.held > self.most:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is left, by query and rank."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        q, score, i = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((i, -score, q))
+        q, score, i = q[order], score[order], i[order]
+        first = np.searchsorted(q, q)
+        rank = np.arange(len(q)) - first
+        last = rank == self.k - 1
+        self.least[q[last]] = score[last]
+        kept = rank < self.k
+        self.parts, self.held = [(q[kept], score[kept], i[kept])], int(kept.sum())
+        self.most = max(self.most, 2 * self.held)
+        return self.parts[0]
+
+
 def nearest_neighbours(
-    embeddings: DataFrame, k: int = 20, every: int = 20, recall: float = 0.97, sample: int = 20_000, leaf_size: int = 256,
-    most_leaves: int = 4096, probes: int = 128, block: int = 2048,
+    embeddings: DataFrame, k: int = 20, every: int = 20, recall: float = 0.94, sample: int = 20_000, leaf_size: int = 64,
+    most_leaves: int = 4096, probes: int = 128, block: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, nearest first, ties to smaller vec_ids.
 
@@ -134,14 +173,15 @@ def nearest_neighbours(
     query's own. Bounds, for the index alone: the tree is fitted on about `sample`
     distinct vectors and has at most about most_leaves leaves; leaf visits are
     calibrated on about `probes` queries against all rows, to `recall` on their
-    average. A query that finds fewer than k candidates visits all leaves. Vectors of
+    average. A query goes on to as many leaves as k candidates need. Vectors of
     other lengths count as filled up with zeros. Rows without vec_id take no part,
     rows that repeat a vec_id with another vector are candidates each, other columns
     are ignored.
 
-    Leaves are dealt as blocks of about `block` vectors, a leaf of any size being
-    split; a query goes to the blocks of its leaves only, where its part of the
-    result is found.
+    Vectors lie in the order of their leaves. Queries come in blocks of about `block`
+    that lie near each other, with the leaves they visit; a block is sent to all
+    tasks, which read the leaves that any of its queries visits, and each leaf is
+    compared with the queries that visit it.
     """
     spark = embeddings.sparkSession
     rows = materialize(valid_vectors(embeddings), "vectors")
@@ -167,10 +207,14 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "rep", "v", "ids"])
 
     kind = vectors.schema["v"].dataType.simpleString()
-    placed = materialize(vectors.select("rep", "v", "ids").mapInArrow(assign, f"leaf long, rep long, v {kind}, ids array<bigint>"), "leaves")
+    placed = vectors.select("rep", "v", "ids").mapInArrow(assign, f"leaf long, rep long, v {kind}, ids array<bigint>")
+    placed = materialize(placed, "placed")
+    placed = materialize(placed.repartitionByRange("leaf", F.xxhash64("rep")).sortWithinPartitions("leaf"), "leaves")
+    # most_leaves rows at most.
+    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
 
     # Calibration: where in the order of visits the true neighbours of some queries lie.
-    reps = materialize(placed.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v"), "query-vectors")
+    reps = materialize(placed.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v", "leaf"), "query-vectors")
     n_reps = reps.count()
     probe = reps.where(F.shiftrightunsigned(F.xxhash64(F.col("rep"), F.lit(1)), 11) / float(1 << 53) * n_reps < probes).collect()
     visits = tree.leaves or 1
@@ -194,62 +238,80 @@ def nearest_neighbours(
 
         best: dict[int, list] = {}
         for r in placed.select("leaf", "v", "ids").mapInArrow(scan, struct("q long, score double, vec_id long, leaf long")).toLocalIterator():
-            best[r["q"]] = sorted([*best.get(r["q"], []), (-r["score"], r["vec_id"], r["leaf"])])[: k + 1]
+            if r["vec_id"] != probe[r["q"]]["rep"]:
+                best[r["q"]] = sorted([*best.get(r["q"], []), (-r["score"], r["vec_id"], r["leaf"])])[:k]
         ranks = []
         for q, top in best.items():
-            order = {leaf: i for i, leaf in enumerate(tree.visits(np.append(queries[q], 0.0), tree.leaves or 1))}
+            order = {leaf: i for i, leaf in enumerate(tree.visits(np.append(queries[q], 0.0)))}
             ranks += [order.get(leaf, 0) for _, _, leaf in top]
         ranks.sort()
         visits = ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] + 1 if ranks else visits
 
-    # Enough leaves for k candidates whatever the calibration says; blocks of a leaf by its size.
-    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
-    salts = {leaf: -(-count // block) for leaf, count in sizes.items()}
-    spread = spark.sparkContext.broadcast((salts, sizes))
+    # Blocks of queries: leaf after leaf until a block is full; a leaf of more queries than a block is spread over several.
+    blocks, at, room = {}, 0, block
+    for r in sorted(reps.groupBy("leaf").count().collect()):
+        if r["count"] > room and room < block:
+            at, room = at + 1, block
+        many = -(-r["count"] // block)
+        blocks[r["leaf"]] = (at, many)
+        at, room = (at + many, block) if many > 1 else (at, room - r["count"])
+    spread = spark.sparkContext.broadcast((sizes, blocks))
 
     def route(batches):
-        salts, sizes = spread.value
+        sizes, blocks = spread.value
         for batch in batches:
-            rep, at, leaf, salt = batch.column(0).to_numpy(), [], [], []
-            for i, q in enumerate(matrix(batch.column(1), dims, np.float64)):
-                seen, order = 0, shared.value.visits(np.append(q, 0.0), shared.value.leaves or 1) if sum(sizes.values()) <= 4 * k else shared.value.visits(np.append(q, 0.0), max(visits, 1) + 64)
-                for nth, own in enumerate(order):
+            routes, own = [], []
+            for q, leaf, rep in zip(matrix(batch.column(1), dims, np.float64), batch.column(2).to_pylist(), batch.column(0).to_pylist(), strict=True):
+                seen, order = 0, []
+                for nth, visited in enumerate(shared.value.visits(np.append(q, 0.0))):
                     if nth >= visits and seen > k:
                         break
-                    seen += sizes.get(own, 0)
-                    for s in range(salts.get(own, 0)):
-                        at.append(i)
-                        leaf.append(own)
-                        salt.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(salt, pa.int64()), pa.array(rep[at], pa.int64()), batch.column(1).take(pa.array(at, pa.int64()))], names=["leaf", "salt", "q", "v"])
-
-    routed = reps.mapInArrow(route, f"leaf long, salt long, q long, v {kind}")
-
-    def salted(batches):
-        for batch in batches:
-            leaf, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            many = np.array([spread.value[0][int(x)] for x in leaf], np.int64)
-            mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((mixed % many.astype(np.uint64)).astype(np.int64)), *batch.columns[2:]], names=["leaf", "salt", "v", "ids"])
-
-    stored = placed.select("leaf", "rep", "v", "ids").mapInArrow(salted, f"leaf long, salt long, v {kind}, ids array<bigint>")
-
+                    seen += sizes.get(visited, 0)
+                    order.append(visited)
+                routes.append(order)
+                first, many = blocks[leaf]
+                own.append(first + hash(rep) % many)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.array(routes, pa.list_(pa.int32()))], names=["rep", "v", "block", "leaves"])
+
+    routed = materialize(reps.repartition(max(1, min(1000, n_reps // 256))).mapInArrow(route, f"rep long, v {kind}, block long, leaves array<int>"), "routed")
     out = struct("rep long, ids array<long>, scores array<double>")
-    names = to_arrow_schema(out)
-
-    def search(_, left, right):
-        ids = _id_lists(pa.concat_arrays(left.column("ids").chunks)) if left.num_rows else []
-        held = matrix(pa.concat_arrays(left.column("v").chunks), dims, np.float64) if ids else None
-        rep, found, score = [], [], []
-        for a in range(0, right.num_rows if ids else 0, 1024):
-            part = right.slice(a, 1024)
-            scores = matrix(pa.concat_arrays(part.column("v").chunks), dims, np.float64) @ held.T
-            for q, row in zip(part.column("q").to_pylist(), scores, strict=True):
-                best = _best(row, ids, k + 1)
-                rep.append(q)
-                found.append([i for _, i in best])
-                score.append([-s for s, _ in best])
-        return pa.table([pa.array(rep, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(score, pa.list_(pa.float64()))], schema=names)
-
-    found = stored.groupBy("leaf", "salt").cogroup(routed.groupBy("leaf", "salt")).applyInArrow(search, out)
+
+    def one(number: int) -> DataFrame:
+        own = routed.where(F.col("block") == number).collect()
+        data, visitors = np.zeros((len(own), dims)), {}
+        for i, r in enumerate(own):
+            data[i, : len(r["v"])] = r["v"]
+            for leaf in r["leaves"]:
+                visitors.setdefault(leaf, []).append(i)
+        sent = spark.sparkContext.broadcast((np.array([r["rep"] for r in own], np.int64), data, {leaf: np.array(q, np.int32) for leaf, q in visitors.items()}))
+
+        def search(batches):
+            names, queries, visitors = sent.value
+            tops = Tops(len(names), k + 1)
+            for batch in batches:
+                leaf, held, lists = batch.column(0).to_numpy(), matrix(batch.column(1), dims, np.float64), batch.column(2)
+                ids, counts = lists.flatten().to_numpy(), np.diff(np.asarray(lists.offsets))
+                edge = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1], [True]])) if len(leaf) else []
+                for a, b in zip(edge, edge[1:], strict=False):
+                    asking = visitors.get(int(leaf[a]))
+                    if asking is not None:
+                        tops.add(asking, queries[asking] @ held[a:b].T, np.arange(a, b), ids, counts)
+            q, score, i = tops.cut()
+            cut = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1], [True]])) if len(q) else np.zeros(1, np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (i, score)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[q[cut[:-1]]]), *lists], names=["rep", "ids", "scores"])
+
+        low, high = min(visitors), max(visitors)
+        near = placed.where((F.col("leaf") >= low) & (F.col("leaf") <= high)).select("leaf", "v", "ids")
+        return near.mapInArrow(search, out)
+
+    found = None
+    for number in sorted({first + i for first, many in blocks.values() for i in range(many)}):
+        if routed.where(F.col("block") == number).isEmpty():
+            continue
+        part = one(number)
+        part = part if len(blocks) and at == 0 else materialize(part, "block-results")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], struct("query_id long, rank int, vec_id long, score double"))
     return for_each_query(asked, found, k)

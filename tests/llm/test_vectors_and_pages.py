@@ -60,7 +60,7 @@ def test_scores_beyond_doubles(spark):
 def test_nearest_neighbours_recall(spark, odd_vectors):
     for df in (spark.read.parquet(f"{SF}/embeddings.parquet"), odd_vectors):
         want = plain(df.collect(), 20, 20, float, any)
-        found = by_query(kmeans_tree.nearest_neighbours(df, leaf_size=16, block=32))
+        found = by_query(kmeans_tree.nearest_neighbours(df, leaf_size=16, block=32 if df is odd_vectors else 8))
         assert found.keys() == want.keys() and all(len(found[q]) == len(want[q]) for q in want)
         hit = sum(len({i for _, i in found[q]} & {i for _, i in want[q]}) for q in want)
         assert hit >= 0.9 * sum(map(len, want.values()))
@@ -75,7 +75,31 @@ def test_visits_follow_the_nearest_centres():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 5))
     tree = kmeans_tree.Tree.fit(x, 24)
-    assert sorted(tree.visits(x[0], tree.leaves)) == list(range(tree.leaves)) and (tree.leaf_of(x) < tree.leaves).all()
+    assert sorted(tree.visits(x[0])) == list(range(tree.leaves)) and (tree.leaf_of(x) < tree.leaves).all()
+
+
+def test_registered_parameters_at_a_larger_size(spark, monkeypatch):
+    """Recall against brute force, and that queries read only part of the leaves."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").unionByName(spark.read.parquet("/root/testdata/check_s/embeddings.parquet").withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    kept = {}
+    real = kmeans_tree.materialize
+    monkeypatch.setattr(kmeans_tree, "materialize", lambda d, name: kept.setdefault(name, real(d, name)))
+    found = by_query(kmeans_tree.nearest_neighbours(df))
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.vec_id is not None and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    asked = [i for i in range(len(ids)) if ids[i] % 20 == 0][::5]
+    scores = x[asked] @ x.T
+    hit = total = 0
+    for q, row in zip(asked, scores, strict=True):
+        row[ids == ids[q]] = -np.inf
+        least = np.sort(row)[-20]
+        top = found[ids[q]]
+        assert len(top) == 20
+        hit += sum(-s >= least - 1e-9 for s, _ in top)
+        total += 20
+    leaves = kept["leaves"].select("leaf").distinct().count()
+    read = np.mean([len(r.leaves) for r in kept["routed"].collect()])
+    assert hit >= 0.9 * total and leaves > 100 and read < 0.7 * leaves
 
 
 # Pages
