@@ -80,3 +80,57 @@ def test_near_copies_of_a_similarity_of_0_8_go(spark):
     ids = [r.doc_id for r in kept]
     assert near > 100 and ids.count(None) == 1 and len(ids) == len(set(ids)) and set(ids) - {None} == want
     assert corpus_pipeline.dedup_near(spark, docs.limit(0), SF).count() == 0
+
+
+def plain_mix(rows):
+    """How often each (doc_id, text) is taken whole, from the targets and the order of places alone."""
+    import hashlib
+    import re
+
+    from fluxbar.llm import mixing
+
+    sized = [(r.source, hashlib.md5(f"0:{'' if r.doc_id is None else r.doc_id}:{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest(), r.doc_id, r.text, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in rows]
+    sources = sorted({s[0] for s in sized}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(s[4] for s in sized if s[0] == x) for x in sources]
+    out = {}
+    for source, size, target in zip(sources, sizes, mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sources))]), strict=True):
+        passes, rest = divmod(int(target + 0.5), size) if size else (0, 0)
+        for _, _, doc_id, text, n in sorted((s for s in sized if s[0] == source), key=lambda s: s[1]):
+            taken, rest = passes * n + min(n, rest), max(0, rest - n)
+            out[doc_id, text] = (2 * taken + n) // (2 * n) if n else 0
+    return {k: n for k, n in out.items() if n}
+
+
+def test_stages_of_language_and_mix_against_plain_versions(spark):
+    from fluxbar.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.identify(spark, docs, SF).collect()}
+    want = set()
+    for r in docs.collect():
+        lang, _, share = model.predict([r.text or ""])
+        if lang[0] != "und" and share[0] >= 0.1:
+            want.add((r.doc_id, r.text))
+    assert kept == want
+    times = defaultdict(int)
+    for r in corpus_pipeline.mix(spark, docs, SF).collect():
+        times[r.doc_id, r.text] += 1
+    assert dict(times) == plain_mix(docs.collect())
+
+
+def test_run_on_odd_and_empty_tables(spark, odd_documents, no_documents, tmp_path):
+    for name, docs in (("odd", odd_documents), ("none", no_documents)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        found = corpus_pipeline.run(spark, str(tmp_path / name))
+        rows = found.collect()
+        assert found.columns == packing.SCHEMA.names and bool(rows) == (name == "odd")
+        # The long text and its later copy of another id are one document; lines repeated within it go.
+        assert len({r.doc_id for r in rows}) == len({r.doc_id for r in rows if r.length > 0})
+
+
+def test_near_dedup_keeps_documents_that_share_an_id(spark):
+    words = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    rows = [(7, words(0, 80)), (7, words(500, 80)), (8, words(0, 79)), (None, words(900, 60)), (None, words(1900, 60))]
+    kept = corpus_pipeline.dedup_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r.text for r in kept) == sorted(t for i, t in rows if i != 8)
