@@ -111,15 +111,19 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 10) -> D
     return runs.select("doc_id", "body", "from", (F.col("to") - 1).alias("until"), (F.col("to") - F.col("from")).cast("long").alias("lines"), "depth")
 
 
-def _cleaned(docs: DataFrame, columns: list, min_lines: int, min_words: int) -> DataFrame:
-    """docs with __n_lines, __n_removed, __n_runs, __depth and __text; columns: what to keep of docs."""
+def _cleaned(docs: DataFrame, columns: list, min_lines: int, min_words: int, solid_only: bool = False) -> DataFrame:
+    """docs with __n_lines, __n_removed, __n_runs, __depth and __text; columns: what to keep of docs; solid_only: without texts of which no line with a word stays."""
     runs = repeated_runs(docs, min_lines, min_words)
     spans = F.sort_array(F.collect_list(F.struct("from", "until")))
-    by_doc = runs.groupBy("doc_id", "body").agg(spans.alias("__runs"), F.max("depth").alias("__depth")).withColumnRenamed("doc_id", "__run_id").withColumnRenamed("body", "__run_body")
+    by_doc = runs.groupBy("doc_id", "body").agg(spans.alias("__runs"), F.max("depth").alias("__depth"), F.sum("lines").alias("__gone")).withColumnRenamed("doc_id", "__run_id").withColumnRenamed("body", "__run_body")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(*columns, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__body"), text.alias("__old"))
     joined = keyed.join(by_doc, keyed["__id"].eqNullSafe(by_doc["__run_id"]) & (keyed["__body"] == by_doc["__run_body"]), "left")
-    joined = joined.withColumn("__lines", F.split("__old", "\n"))
+    if solid_only:
+        # Told from counts: a filter on the new text would be pushed below it and work it out once more.
+        solid = F.size(F.filter(F.split("__old", "\n"), lambda x: x.rlike(SOLID)))
+        joined = joined.where(F.col("__runs").isNull() | (F.col("__gone") < solid))
+    joined = joined.drop("__gone").withColumn("__lines", F.split("__old", "\n"))
     # Places in the text of the lines with a word; a run goes from its first to its last, what is blank between them included.
     at = F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(SOLID), i)), lambda i: i.isNotNull())
     joined = joined.withColumn("__at", F.when(F.col("__runs").isNotNull(), at))
@@ -154,8 +158,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 10) -> Dat
 
 def without_repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 10) -> DataFrame:
     """docs with all columns, text without later copies and n_chars its length; documents that consist of later copies only go."""
-    done = _cleaned(docs, [docs[c] for c in docs.columns], min_lines, min_words)
-    done = done.where((F.col("__n_removed") == 0) | F.col("__text").rlike(SOLID))
+    done = _cleaned(docs, [docs[c] for c in docs.columns], min_lines, min_words, solid_only=True)
     new = {"text": F.when(F.col("__n_removed") > 0, F.col("__text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("__n_removed") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
