@@ -190,7 +190,7 @@ def dealt_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     joined = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["__taken_id"]) & (own == taken["__taken_digest"]))
     each = joined.select(*[docs[c] for c in docs.columns], F.posexplode("__dealt").alias("__copy", "__to"))
     each = each.withColumns({"__shard": F.col("__to.shards"), "__order": F.col("__to.orders")}).drop("__to")
-    return each.orderBy("__shard", "__order", "__copy", *docs.columns)
+    return each.orderBy("__shard", "__order", "__copy", "doc_id")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
