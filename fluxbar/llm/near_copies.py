@@ -39,8 +39,8 @@ def shingles(text: str, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends, strict=False)), np.uint64, n))
 
 
-def set_id(h: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(h.tobytes())
+def set_id(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
 
 
 def band_keys(h: np.ndarray) -> list[int]:
@@ -93,8 +93,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return both.where(ratio >= similarity).select("a", "b")
 
 
-def _nearest(keyed: DataFrame, radius: int, most: int) -> DataFrame:
-    """(a, b): each fingerprint of a shard's BK-tree with the nearest within the radius of those before it: fewer pairs than rows."""
+def _nearest(keyed: DataFrame, sketches: DataFrame, radius: int, most: int) -> DataFrame:
+    """(a, b) from keyed (key, fp) and sketches (fp, sketch): each fingerprint of a shard's BK-tree with the nearest within the radius of those before it: fewer pairs than rows."""
 
     def close(table: pa.Table):
         key, tree, role = (table.column(k).to_numpy() for k in range(3))
@@ -118,8 +118,9 @@ def _nearest(keyed: DataFrame, radius: int, most: int) -> DataFrame:
         yield from groups_of(batches, 2, 50_000, close)
         give_back()
 
-    dealt = dealt_shards(keyed, most, 64).select("key", "tree", "role", "fp", "sketch")
-    return dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", "role").mapInArrow(run, struct("a string, b string"))
+    # Sketches follow when only the shards of several rows are left.
+    dealt = dealt_shards(keyed, most, 64).join(sketches, "fp").select("key", "tree", "role", "fp", "sketch")
+    return dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", "role").mapInArrow(run, struct("a binary, b binary"))
 
 
 def _across(rows: DataFrame, radius: int, similarity: float, most: int) -> DataFrame:
@@ -133,7 +134,7 @@ def _across(rows: DataFrame, radius: int, similarity: float, most: int) -> DataF
         key, tree, role = (table.column(k).to_numpy() for k in range(3))
         name, items = table.column(3).combine_chunks(), words_of(table.column(4).combine_chunks())
         band, bands = table.column(5).to_numpy(), table.column(6).combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-        label = np.unique(np.array(table.column(7).to_pylist(), object).astype(str), return_inverse=True)[1]
+        label = np.unique(np.array([x.hex() for x in table.column(7).to_pylist()]), return_inverse=True)[1]
         held = table.column(8).combine_chunks()
         cut, flat = np.asarray(held.offsets), held.values.to_numpy().view(np.uint64)
         shard = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])]))
@@ -162,7 +163,7 @@ def _across(rows: DataFrame, radius: int, similarity: float, most: int) -> DataF
         give_back()
 
     dealt = dealt_shards(rows, most).select("key", "tree", "role", "fp", "sketch", "band", "bands", "label", "shingles")
-    return dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", "role").mapInArrow(run, struct("a string, b string"))
+    return dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", "role").mapInArrow(run, struct("a binary, b binary"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 4096) -> DataFrame:
@@ -184,11 +185,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
         yield {"doc_id": batch.column(0), "body": batch.column(2), "fp": [set_id(h) for h in found], "sketch": [wide_fingerprint(h) for h in found], "bands": [band_keys(h) for h in found]}
 
     own = id_and_text(docs).withColumn("body", F.xxhash64("text"))
-    signed = materialize(map_batches(own, sign, struct("doc_id long, body long, fp string, sketch binary, bands array<long>")), "signed")
+    signed = materialize(map_batches(own, sign, struct("doc_id long, body long, fp binary, sketch binary, bands array<long>")), "signed")
 
     def link(distinct: DataFrame) -> DataFrame:
-        keyed = distinct.select("fp", "sketch", "bands", F.posexplode("bands").alias("band", "key"))
-        pairs = _nearest(keyed.select("key", "fp", "sketch"), radius, most)
+        pairs = _nearest(distinct.select(F.explode("bands").alias("key"), "fp"), distinct.select("fp", "sketch"), radius, most)
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
         def gather(batch):
@@ -203,13 +203,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
         def sets_of(wanted: DataFrame, name: str) -> DataFrame:
             named = wanted.join(distinct, "fp").select("fp", F.col("first.doc_id").alias("n_id"), F.col("first.body").alias("n_body"))
             texts = own.join(named, (own["body"] == named["n_body"]) & own["doc_id"].eqNullSafe(named["n_id"])).select("doc_id", "text", "fp")
-            return materialize(map_batches(texts, gather, struct("fp string, shingles array<long>")).dropDuplicates(["fp"]), name)
+            return materialize(map_batches(texts, gather, struct("fp binary, shingles array<long>")).dropDuplicates(["fp"]), name)
 
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "candidate-sets")
         found = materialize(_confirmed(pairs, sets, similarity), "near-links")
         roots = components(found).withColumnRenamed("node", "r_fp")
         label = F.coalesce("root", "fp")
-        labelled = keyed.join(roots, F.col("fp") == F.col("r_fp"), "left").select("key", "fp", "sketch", "band", "bands", label.alias("label"))
+        labelled = materialize(distinct.join(roots, F.col("fp") == F.col("r_fp"), "left").select("fp", "bands", label.alias("label")), "labelled")
+        labelled = labelled.select("fp", "label", F.posexplode("bands").alias("band", "key"))
         mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
         mixed = materialize(mixed, "mixed-shards")
         total = mixed.agg(F.sum("n")).first()[0]
@@ -217,7 +218,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
             return found
         rows = materialize(join_to_few(labelled, mixed, "key", "n", total), "mixed-rows")
         sets = sets_of(rows.select("fp").distinct(), "mixed-sets").withColumnRenamed("fp", "m_fp")
-        further = _across(rows.join(sets, F.col("fp") == F.col("m_fp")).drop("m_fp"), radius, similarity, most // 4)
+        rows = rows.join(sets, F.col("fp") == F.col("m_fp")).drop("m_fp").join(distinct.select("fp", "sketch", "bands"), "fp")
+        further = _across(rows, radius, similarity, most // 4)
         return found.unionByName(materialize(further, "further-links"))
 
     return grouped(signed, link, F.max("bands").alias("bands"), F.max("sketch").alias("sketch"))
