@@ -38,14 +38,14 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     The result has no lineage: a lost executor costs only the tasks that ran on it.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/fluxbar/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -418,6 +418,11 @@ def content_region(template: str, slots: list[int], mass: list[float], share: fl
     return sorted(out)
 
 
+def _hashes() -> F.Column:
+    """What tells the texts of a slot apart."""
+    return F.transform("texts", lambda t: F.xxhash64(t))
+
+
 def wrappers(read_: DataFrame, min_pages: int = 3, min_share: float = 0.5, fan: int = 32) -> DataFrame:
     """(form_key, n, slots, region, fixed_slots, fixed_texts) of each shape of a host's pages; region is null for hosts of fewer than min_pages different pages.
 
@@ -454,16 +459,18 @@ def wrappers(read_: DataFrame, min_pages: int = 3, min_share: float = 0.5, fan:
     slots = materialize(map_batches(aligned, align, struct("host string, form_key long, n long, slots array<int>")), "slots")
 
     pages = read_.count()
-    narrow = join_to_few(read_.select("host", "form_key", "content", "nodes", "hashes", "sizes", "kinds"), slots.drop("host"), "form_key", "n", pages)
+    narrow = read_.select("host", "form_key", "content", "nodes", _hashes().alias("hashes"), F.transform("texts", F.length).alias("sizes"), "kinds")
+    narrow = join_to_few(narrow, slots.drop("host"), "form_key", "n", pages)
     each = narrow.select("host", "content", "slots", F.explode(F.arrays_zip("nodes", "hashes", "sizes", "kinds")).alias("b"))
     each = each.select("host", "content", F.element_at("slots", F.col("b.nodes") + 1).alias("slot"), F.col("b.hashes").alias("text"), F.col("b.sizes").alias("size"), F.col("b.kinds").alias("kind"))
     # What weighs in a slot: the wanted text that isn't mostly links, twice within main and three times within an article.
     weight = F.when((F.col("kind").bitwiseAND(UNWANTED) == 0) & ((F.col("kind") >= MAIN) | (F.col("kind").bitwiseAND(LINKED) == 0)), F.col("size") * F.when(F.col("kind") >= ARTICLE, 3).when(F.col("kind") >= MAIN, 2).otherwise(1)).otherwise(0)
     texts = each.groupBy("host", "slot", "text", "content").agg(F.sum(weight).alias("mass")).groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("pages"), F.sum("mass").alias("mass"))
     texts = materialize(texts, "slot-texts")
-    totals = read_.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("different")).withColumnRenamed("host", "n_host")
+    totals = read_.select("host", "content").distinct().groupBy(F.col("host").alias("n_host")).agg(F.count(F.lit(1)).alias("different"))
+    totals = materialize(texts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(totals, F.col("host") == F.col("n_host")).drop("n_host"), "hosts")
     is_fixed = (F.col("pages") >= min_pages) & (F.col("pages") >= min_share * F.col("different"))
-    marked = texts.join(totals, F.col("host") == F.col("n_host")).withColumn("fixed", is_fixed)
+    marked = join_to_few(texts, totals, "host", "n", texts.count()).withColumn("fixed", is_fixed)
     varying = marked.groupBy("host", "slot").agg(F.sum(F.when(~F.col("fixed"), F.col("mass")).otherwise(0)).cast("double").alias("mass"), F.max("different").alias("different"))
     varying = varying.where((F.col("mass") > 0) & (F.col("slot") >= 0) & (F.col("different") >= min_pages)).groupBy("host").agg(F.collect_list("slot").alias("at"), F.collect_list("mass").alias("mass"))
     fixed = marked.where("fixed").groupBy(F.col("host").alias("f_host")).agg(F.collect_list("slot").alias("fixed_slots"), F.collect_list("text").alias("fixed_texts"))
@@ -477,7 +484,7 @@ def wrappers(read_: DataFrame, min_pages: int = 3, min_share: float = 0.5, fan:
     return materialize(slots.join(hosts, F.col("host") == F.col("r_host"), "left").select("form_key", "n", "slots", "region", "fixed_slots", "fixed_texts"), "wrappers")
 
 
-READ = struct("page_id long, url string, host string, shape string, content long, nodes array<int>, texts array<string>, hashes array<long>, sizes array<int>, kinds array<int>")
+READ = struct("page_id long, url string, host string, shape string, content long, nodes array<int>, texts array<string>, kinds array<int>")
 SCHEMA = struct("page_id long, url string, text string, n_chars long, n_template int, by_template boolean")
 
 
@@ -500,8 +507,6 @@ def extract_main_text(pages: DataFrame, **how) -> DataFrame:
             out["shape"].append(shape)
             out["nodes"].append([int(place[b[0]]) for b in page.blocks])
             out["texts"].append([b[1] for b in page.blocks])
-            out["hashes"].append([_hash(b[1]) for b in page.blocks])
-            out["sizes"].append([len(b[1]) for b in page.blocks])
             out["kinds"].append([b[2] for b in page.blocks])
             # Pages whose longest blocks are the same are taken for copies.
             longest = sorted({b[1] for b in page.blocks if not b[2] & UNWANTED}, key=lambda x: (-len(x), x))[:3]
@@ -509,7 +514,7 @@ def extract_main_text(pages: DataFrame, **how) -> DataFrame:
         yield out
 
     read_ = map_batches(_own(pages), read, READ).withColumn("form_key", F.xxhash64("host", "shape"))
-    read_ = materialize(read_, "pages-read")
+    read_ = materialize(read_, "pages-read", "zstd")
     found = wrappers(read_, **how)
 
     def write(batch):
@@ -532,5 +537,6 @@ def extract_main_text(pages: DataFrame, **how) -> DataFrame:
             out["by_template"].append(col["region"][r] is not None)
         yield out
 
-    joined = join_to_few(read_.select("page_id", "url", "nodes", "texts", "hashes", "kinds", "form_key"), found, "form_key", "n", read_.count())
-    return map_batches(joined.drop("form_key"), write, SCHEMA)
+    joined = join_to_few(read_.select("page_id", "url", "nodes", "texts", "kinds", "form_key"), found, "form_key", "n", read_.count())
+    columns = ["page_id", "url", "nodes", "texts", _hashes().alias("hashes"), "kinds", "slots", "region", "fixed_slots", "fixed_texts"]
+    return map_batches(joined.select(*columns), write, SCHEMA)
