@@ -92,50 +92,29 @@ def o023(spark, sf_dir):
     return s.table(spark, sf_dir, "events").where(bars.in_session("ts", 810, 1200)).select("event_id", "ts")
 
 
-@query("o024_semi_join_days", "SELECT event_id FROM events WHERE CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'signup' AND user_id < 5)")
-def o024(spark, sf_dir):
-    e = s.table(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
-    return e.join(e.where("event_type = 'signup' and user_id < 5").select("d").distinct(), "d", "left_semi").select("event_id")
-
-
 @query("o027_dedup_keep_last", "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def o027(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     return s.table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(w)).where("i = 1").select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
-@query("o046_asof_backward", _sql(s.QUOTES_SQL, """SELECT t.seq, q.bid AS bid, q.ask AS ask FROM (SELECT * FROM trades WHERE side = 'B') t
-  ASOF LEFT JOIN (SELECT * FROM quotes WHERE seq % 3 = 0) q ON t.root = q.root AND t.ts >= q.ts"""))
-def o046(spark, sf_dir):
-    t = s.trades(spark, sf_dir).where("side = 'B'").select("root", "ts", "seq")
-    return joins.asof(t, s.quotes(spark, sf_dir).where("seq % 3 = 0"), "ts", ["root"], ["bid", "ask"], "seq").select("seq", "bid", "ask")
-
-
-@query("o048_asof_forward", _sql(s.TRADES_SQL, """SELECT t.seq, b.seq AS next_seq FROM trades t ASOF LEFT JOIN (SELECT root, ts, seq FROM trades WHERE seq % 50 = 0) b ON t.root = b.root AND t.ts <= b.ts"""))
-def o048(spark, sf_dir):
-    t = s.trades(spark, sf_dir).select("root", "ts", "seq")
-    ends = t.where("seq % 50 = 0").withColumn("next_seq", F.col("seq"))
-    return joins.asof(t, ends, "ts", ["root"], ["next_seq"], forward=True).select("seq", "next_seq")
-
-
-# o024_semi_join_days, o046_asof_backward and o048_asof_forward take parts of their tables, as their SQL does; these take the whole tables.
-@query("o024_semi_join_all_days", "SELECT event_id FROM events WHERE CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'signup')")
-def o024_all(spark, sf_dir):
+@query("o024_semi_join_days", "SELECT event_id FROM events WHERE CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'signup')")
+def o024(spark, sf_dir):
     e = s.table(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
     return e.join(e.where("event_type = 'signup'").select("d").distinct(), "d", "left_semi").select("event_id")
 
 
-@query("o046_asof_backward_all", _sql(s.QUOTES_SQL, """SELECT t.seq, q.bid AS bid, q.ask AS ask FROM trades t
+@query("o046_asof_backward", _sql(s.QUOTES_SQL, """SELECT t.seq, q.bid AS bid, q.ask AS ask FROM trades t
   ASOF LEFT JOIN (SELECT root, ts + INTERVAL 1 SECOND AS ts, bid, ask FROM quotes QUALIFY row_number() OVER (PARTITION BY root, ts ORDER BY seq DESC) = 1) q ON t.root = q.root AND t.ts >= q.ts"""))
-def o046_all(spark, sf_dir):
+def o046(spark, sf_dir):
     t = s.trades(spark, sf_dir).select("root", "ts", "seq")
     late = s.quotes(spark, sf_dir).withColumn("ts", F.expr("ts + interval 1 second"))
     return joins.asof(t, late, "ts", ["root"], ["bid", "ask"], "seq").select("seq", "bid", "ask")
 
 
-@query("o048_asof_forward_bars", _sql(s.TRADES_SQL, """SELECT t.seq, b.seq AS next_seq FROM trades t
+@query("o048_asof_forward", _sql(s.TRADES_SQL, """SELECT t.seq, b.seq AS next_seq FROM trades t
   ASOF LEFT JOIN (SELECT root, ts, seq FROM trades QUALIFY row_number() OVER (PARTITION BY root, date_trunc('hour', ts) ORDER BY ts DESC, seq DESC) = 1) b ON t.root = b.root AND t.ts <= b.ts"""))
-def o048_bars(spark, sf_dir):
+def o048(spark, sf_dir):
     t = s.trades(spark, sf_dir).select("root", "ts", "seq")
     last = F.max(F.struct("ts", "seq"))
     ends = t.groupBy("root", F.date_trunc("hour", "ts").alias("hour")).agg(last.alias("end")).select("root", "end.ts", F.col("end.seq").alias("next_seq"))
