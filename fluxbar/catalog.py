@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from fluxbar.plans import market, research, runs  # noqa: F401
+    from fluxbar.plans import market, research, runs, trials  # noqa: F401
 
 
 def queries() -> dict:

@@ -82,15 +82,53 @@ def value_boundaries(trades: DataFrame, threshold: float, order: list[str], valu
     return dealt.mapInArrow(run, schema)
 
 
-def assign_bars(trades: DataFrame, boundaries: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """trades with the bar_id of the bar that holds each: the first boundary at or after it, by a running last value from the end backwards."""
+def assign_bars(trades: DataFrame, boundaries: DataFrame, order: list[str], keys: list[str] | None = None, parts: int = 512) -> DataFrame:
+    """trades with the bar_id of the bar that holds each: the first boundary at or after it.
+
+    Quantiles of the bars' ends cut the order into ranges, which are looked through
+    side by side, each from its end backwards; trades after a range's last boundary
+    belong to the first bar that ends in a later range. Only trades of one value of
+    the first order column must stay together.
+    """
     keys = keys or []
     at = F.struct(*[F.col(f"last_{c}").alias(c) for c in order])
     ends = boundaries.select(*keys, at.alias("__at"), F.col("bar_id").alias("__bar"), F.lit(1).alias("__end"))
-    t = trades.withColumn("__at", F.struct(*order)).withColumn("__bar", F.lit(None).cast("long")).withColumn("__end", F.lit(0))
-    both = t.unionByName(ends, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__end")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("bar_id", F.last("__bar", ignorenulls=True).over(w)).where("__end = 0").drop("__at", "__bar", "__end")
+    place = ranges(boundaries, f"last_{order[0]}", parts)
+    t = trades.withColumns({"__at": F.struct(*order), "__bar": F.lit(None).cast("long"), "__end": F.lit(0)})
+    both = t.unionByName(ends, allowMissingColumns=True).withColumn("__range", place(F.col("__at")[order[0]]))
+    w = Window.partitionBy(*keys, "__range").orderBy(F.desc("__at"), F.desc("__end")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("bar_id", F.last("__bar", ignorenulls=True).over(w)).where("__end = 0")
+    # A range with a boundary has one row here, parts + 1 at most a key.
+    firsts = ends.groupBy(*keys, place(F.col("__at")[order[0]]).alias("__from")).agg(F.min("__bar").alias("__first"))
+    before = F.coalesce(F.lag("__from").over(Window.partitionBy(*keys).orderBy("__from")), F.lit(0))
+    spans = firsts.withColumn("__since", before).withColumn("__range", F.explode(F.sequence("__since", "__from"))).where("__range < __from")
+    spans = spans.select(*keys, "__range", F.col("__first").alias("__next"))
+    return found.join(spans, [*keys, "__range"], "left").withColumn("bar_id", F.coalesce("bar_id", "__next")).drop("__at", "__bar", "__end", "__range", "__next")
+
+
+def ranges(df: DataFrame, column: str, parts: int):
+    """A function from a column to its range, 0 to parts - 1, by quantiles of a number, date or time column of df."""
+    timed = df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+    number = lambda c: F.unix_micros(c.cast("timestamp")).cast("double") if timed else c.cast("double")
+    cuts = df.agg(F.array_distinct(F.percentile_approx(number(F.col(column)), F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20 * parts)).alias("cuts")).first()["cuts"] or []
+    # Literals, so that retried tasks deal rows alike.
+    bounds = F.array(*[F.lit(float(c)) for c in sorted(cuts)]).cast("array<double>")
+    return lambda c: F.coalesce(F.size(F.filter(bounds, lambda cut: cut < number(c))), F.lit(0))
+
+
+def bar_details(assigned: DataFrame, roots: list[str], order: list[str], buckets: list[str]) -> DataFrame:
+    """(bar_id, root, last_price, and the share of each bucket in the root's notional) for each bar and listed root.
+
+    A root that didn't trade in a bar keeps its last price of the bars before, NULL
+    before its first trade, and has no shares.
+    """
+    own = F.col("notional")
+    each = assigned.groupBy("bar_id", "root").agg(
+        F.max_by("price", F.struct(*order)).alias("last_price"), *[div(F.coalesce(F.sum(F.when(F.col("bucket") == b, own)), F.lit(0.0)), F.sum(own)).alias(b) for b in buckets],
+    )
+    grid = assigned.select("bar_id").distinct().withColumn("root", F.explode(F.array(*[F.lit(r) for r in roots])))
+    past = series("root", order="bar_id").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(each, ["bar_id", "root"], "left").withColumn("last_price", F.last("last_price", ignorenulls=True).over(past))
 
 
 def bar_records(assigned: DataFrame, roots: list[str]) -> DataFrame:

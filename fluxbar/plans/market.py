@@ -286,16 +286,23 @@ def o153(spark, sf_dir):
     return rec.select("bar_id", "trades", F.round("bar_notional", 4).alias("bar_notional"), "dominant_root", *r6("dominant_share", "hhi", "signed_ratio"))
 
 
-@query("o154_variance_bars", f"""WITH RECURSIVE {s.HOURLY_SQL},
+VARIANCE = f"""{s.HOURLY_SQL},
 r AS (SELECT root, CAST(hour AS DATE) AS day, hour, coalesce(ln(close) - lag(ln(close)) OVER (PARTITION BY root ORDER BY hour), 0) AS ret, row_number() OVER (PARTITION BY root, CAST(hour AS DATE) ORDER BY hour) AS i FROM hourly),
 fold(root, day, i, bar, total) AS (
   SELECT root, day, i, 0::BIGINT, ret * ret FROM r WHERE i = 1
   UNION ALL
-  SELECT r.root, r.day, r.i, CASE WHEN f.total >= 0.002 THEN f.bar + 1 ELSE f.bar END, CASE WHEN f.total >= 0.002 THEN 0 ELSE f.total END + r.ret * r.ret FROM fold f JOIN r ON r.root = f.root AND r.day = f.day AND r.i = f.i + 1)
+  SELECT r.root, r.day, r.i, CASE WHEN f.total >= 0.002 THEN f.bar + 1 ELSE f.bar END, CASE WHEN f.total >= 0.002 THEN 0 ELSE f.total END + r.ret * r.ret FROM fold f JOIN r ON r.root = f.root AND r.day = f.day AND r.i = f.i + 1)"""
+
+
+def _variance_bars(spark, sf_dir):
+    h = s.hourly(spark, sf_dir).withColumn("ret", windows.log_return("close", series("root", order="hour"))).withColumn("day", F.to_date("hour"))
+    return bars.variance_bars(h.select("root", "day", "hour", "ret"), 0.002)
+
+
+@query("o154_variance_bars", f"""WITH RECURSIVE {VARIANCE}
 SELECT f.root, f.day, f.bar, min(r.hour) AS start, count(*) AS n, round(sum(r.ret), 6) AS ret, round(sum(r.ret * r.ret), 6) AS variance FROM fold f JOIN r ON r.root = f.root AND r.day = f.day AND r.i = f.i GROUP BY 1, 2, 3""")
 def o154(spark, sf_dir):
-    h = s.hourly(spark, sf_dir).withColumn("ret", windows.log_return("close", series("root", order="hour"))).withColumn("day", F.to_date("hour"))
-    return bars.variance_bars(h.select("root", "day", "hour", "ret"), 0.002).select("root", "day", "bar", "start", "n", *r6("ret", "variance"))
+    return _variance_bars(spark, sf_dir).select("root", "day", "bar", "start", "n", *r6("ret", "variance"))
 
 
 @query("o156_time_bars", _sql(s.TRADES_SQL, """SELECT root, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS bar_end, arg_max(price, ts) AS close, sum(size) AS volume, count(*) AS n,
@@ -349,19 +356,25 @@ def o15a(spark, sf_dir):
     return done.select("root", "ts", "active", *r6("cont_logret", "cont_logprice"), "rolled")
 
 
-@query("o15b_carry", _sql(s.TRADES_SQL + """,
+CONTRACTS = s.TRADES_SQL + """,
 c AS (SELECT root, ts::DATE AS session, root || CASE user_id % 3 WHEN 0 THEN 'H6' WHEN 1 THEN 'M6' ELSE 'U6' END AS symbol, price, size, ts, seq FROM trades),
 d AS (SELECT root, session, symbol, arg_max(price, (ts, seq)) AS close, sum(size) AS volume FROM c GROUP BY ALL),
 k AS (SELECT root, symbol, row_number() OVER (PARTITION BY root ORDER BY max(session), symbol) AS rk FROM d GROUP BY root, symbol),
 r AS (SELECT d.*, rk, row_number() OVER (PARTITION BY d.root, session ORDER BY volume DESC, d.symbol) AS nth FROM d JOIN k ON d.root = k.root AND d.symbol = k.symbol),
 n AS (SELECT a.root, a.session, a.close AS front, b.close AS second, row_number() OVER (PARTITION BY a.root, a.session ORDER BY b.rk) AS i
-      FROM r a JOIN r b ON a.root = b.root AND a.session = b.session AND b.rk > a.rk WHERE a.nth = 1)""",
-    "SELECT root, session, round(ln(front / second), 6) AS carry FROM n WHERE i = 1 AND front > 0 AND second > 0"))
-def o15b(spark, sf_dir):
+      FROM r a JOIN r b ON a.root = b.root AND a.session = b.session AND b.rk > a.rk WHERE a.nth = 1)"""
+
+
+def _daily_contracts(spark, sf_dir):
     t = _contracts(spark, sf_dir)[0].withColumn("session", F.to_date("ts"))
     d = t.groupBy("root", "session", "symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("size").alias("volume"))
     largest = F.min_by("symbol", F.struct(-F.col("volume"), "symbol"))
-    return bars.carry(d, d.groupBy("root", "session").agg(largest.alias("active"))).select("root", "session", *r6("carry"))
+    return d, bars.carry(d, d.groupBy("root", "session").agg(largest.alias("active")))
+
+
+@query("o15b_carry", _sql(CONTRACTS, "SELECT root, session, round(ln(front / second), 6) AS carry FROM n WHERE i = 1 AND front > 0 AND second > 0"))
+def o15b(spark, sf_dir):
+    return _daily_contracts(spark, sf_dir)[1].select("root", "session", *r6("carry"))
 
 
 @query("o160_size_buckets", _sql(s.TRADES_SQL + """,
