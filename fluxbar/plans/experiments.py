@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxbar import sources
 from fluxbar.functions import series
-from fluxbar.operators import anomaly, backtest, flow, pairs, studies
+from fluxbar.operators import anomaly, backtest, bars, flow, pairs, studies
 
 #: What a config may hold; every value of strategy and backtest.cost_bps must be given.
 SECTIONS = {
@@ -99,6 +99,64 @@ def written(tables: dict[str, DataFrame], folder: str, as_json: tuple[str, ...]
     return out
 
 
+def run_pairs_config(spark: SparkSession, config: dict) -> DataFrame:
+    """run_pairs() over the Parquet frames at data.path into outputs.folder; the metrics as written."""
+    rest = {k: v for k, v in config.items() if k not in ("data", "outputs", "experiment_id", "title")}
+    return run_pairs(spark.read.parquet(config["data"]["path"]), rest, config["outputs"]["folder"])["metrics"]
+
+
+def prepare_futures(spark: SparkSession, raw: str, out: str, roots: list[str] | None = None, zone: str = "America/New_York") -> DataFrame:
+    """Continuous series of the files <root>.parquet (ts, symbol, close, volume) of a folder, written partitioned by root; returns root, rows, contracts, rolls, start and end.
+
+    Only single contracts count. Sessions are days in the zone; contracts expire in
+    the order of their last sessions, ties by symbol. Of bars that repeat a contract
+    and time, the one of the largest volume counts, ties the largest close.
+    """
+    every = sources.load_roots(spark, raw, roots)
+    code = F.expr("substring(symbol, length(root) + 1)")
+    kept = every.where(F.col("symbol").startswith(F.col("root")) & code.rlike(r"^[FGHJKMNQUVXZ]\d{1,2}$") & (F.col("close") > 0))
+    one = kept.groupBy("root", "symbol", "ts").agg(F.max(F.struct("volume", "close")).alias("b")).select("root", "symbol", "ts", "b.*")
+    one = one.withColumn("session", F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone)))
+    daily = one.groupBy("root", "session", "symbol").agg(F.sum("volume").alias("volume"))
+    last = daily.groupBy("root", "symbol").agg(F.max("session").alias("last"))
+    ranks = last.select("root", "symbol", F.row_number().over(Window.partitionBy("root").orderBy("last", "symbol")).alias("expiry_rank"))
+    schedule = bars.contract_schedule(daily.join(ranks, ["root", "symbol"]))
+    bars.continuous(one, schedule).write.partitionBy("root").parquet(out)
+    return spark.read.parquet(out).groupBy("root").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("active").alias("contracts"), F.count_if("rolled").alias("rolls"), F.min("ts").alias("start"), F.max("ts").alias("end"),
+    )
+
+
+def universe(closes: DataFrame, shares: DataFrame, top: int) -> DataFrame:
+    """(rank, symbol, close, shares, market_cap) of the `top` largest by last close times shares, ties by symbol.
+
+    closes are (symbol, ts, close) and shares (symbol, ts, shares), of each the last
+    positive value of a symbol counts; symbols without either go.
+    """
+    tidy = lambda df, c: df.where(F.col(c) > 0).groupBy(F.upper(F.trim("symbol")).alias("symbol")).agg(F.max(F.struct("ts", c))[c].alias(c))
+    both = tidy(closes, "close").join(tidy(shares, "shares"), "symbol").withColumn("market_cap", F.col("close") * F.col("shares"))
+    best = both.orderBy(F.desc("market_cap"), "symbol").limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("market_cap"), "symbol"))).select("rank", "symbol", "close", "shares", "market_cap")
+
+
+def research_summary(panel: DataFrame, bar: str, value: str, fits: DataFrame) -> DataFrame:
+    """(part, name, value): each root's mean share, the share of bars in which it is the largest (ties: first by name), and how many fits there are of each kind."""
+    shares = flow.shares(panel, bar, value).where("share IS NOT NULL")
+    mean = shares.groupBy(F.col("root").alias("name")).agg(F.avg("share").alias("value")).withColumn("part", F.lit("mean_share"))
+    top = shares.groupBy(bar).agg(F.min_by("root", F.struct(-F.col("share"), "root")).alias("name"))
+    often = top.groupBy("name").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    often = often.join(F.broadcast(top.agg(F.count(F.lit(1)).alias("all")))).select("name", (F.col("n") / F.col("all")).alias("value"), F.lit("largest").alias("part"))
+    kinds = fits.where("kind IS NOT NULL").groupBy(F.col("kind").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("part", F.lit("kind"))
+    return mean.unionByName(often).unionByName(kinds).select("part", "name", "value")
+
+
+def report(spark: SparkSession, folder: str, by: str, n: int = 20) -> str:
+    """leaderboard() as a Markdown table."""
+    rows = leaderboard(spark, folder, by, n)
+    lines = [rows.columns, ["-"] * len(rows.columns), *rows.collect()]
+    return "\n".join("|" + "|".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in line) + "|" for line in lines)
+
+
 def leaderboard(spark: SparkSession, folder: str, by: str, n: int = 10) -> DataFrame:
     """The best rows by a column over all metrics that experiments wrote as JSON below the folder, with where they come from."""
     rows = spark.read.json(f"{folder}/*/metrics-json").withColumn("path", F.input_file_name())

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from fluxbar import sources as s
 from fluxbar.catalog import query
 from fluxbar.functions import div, series
-from fluxbar.operators import bars, flow, stats, trials
-from fluxbar.plans.market import CONTRACTS, DOLLAR, VARIANCE, _daily_contracts, _sql, _variance_bars, r6, roots_of
+from fluxbar.operators import bars, flow, geometry, panels, stats, trials
+from fluxbar.plans import experiments
+from fluxbar.plans.market import CONTRACTS, DOLLAR, IC, SHARE, VARIANCE, _forward, _daily_contracts, _sql, _variance_bars, r6, roots_of
 from fluxbar.plans.research import HOURLY_RET, _hourly_ret
 
 #: The columns of trials.summary(), rounded, from rows r with gross, cost, net and the running fall dd.
@@ -165,3 +166,30 @@ def o152(spark, sf_dir):
     t = flow.size_buckets(s.trades(spark, sf_dir))
     assigned = bars.assign_bars(t, bars.value_boundaries(t, 30000, ["ts", "seq"]), ["ts", "seq"])
     return bars.bar_details(assigned, roots_of(spark, sf_dir), ["ts", "seq"], ["small", "large", "very_large"]).select("bar_id", "root", "last_price", *r6("small", "large", "very_large"))
+
+
+@query("o194_geometry_suite")
+def o194(spark, sf_dir):
+    """A sample of at most 1,000 hours' shares, which is the operator's feature."""
+    roots = roots_of(spark, sf_dir)
+    wide = panels.wide(flow.shares(s.hourly(spark, sf_dir), "hour", "notional"), "hour", roots, "share").fillna(0.0, roots)
+    return geometry.suite(wide, ["hour"], roots, 1000)[0]
+
+
+@query("o216_research_summary", _sql(IC + SHARE.removeprefix(s.HOURLY_SQL), """SELECT 'mean_share' AS part, root AS name, round(avg(share), 6) AS value FROM sh GROUP BY root
+UNION ALL SELECT 'largest', root, round(count(*) / sum(count(*)) OVER (), 6) FROM (SELECT hour, first(root ORDER BY share DESC, root) AS root FROM sh GROUP BY hour) GROUP BY root
+UNION ALL SELECT 'kind', kind, count(*)::DOUBLE FROM (SELECT CASE WHEN regr_slope(y, x) > 0 THEN 'momentum' WHEN regr_slope(y, x) < 0 THEN 'mean_reversion' END AS kind FROM b GROUP BY root) WHERE kind IS NOT NULL GROUP BY kind"""))
+def o216(spark, sf_dir):
+    fits = stats.regression(_forward(spark, sf_dir), ["root"], "y", "x")
+    return experiments.research_summary(s.hourly(spark, sf_dir), "hour", "notional", fits).select("part", "name", *r6("value"))
+
+
+UNIVERSE = """c AS (SELECT c_name AS symbol, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), h AS (SELECT c_name AS symbol, c_acctbal AS shares FROM customer WHERE c_acctbal > 0)"""
+
+
+@query("o080_universe", _sql(UNIVERSE, "SELECT CAST(row_number() OVER (ORDER BY close * shares DESC, c.symbol) AS INT) AS rank, upper(c.symbol) AS symbol, round(close * shares, 2) AS market_cap FROM c JOIN h ON h.symbol = c.symbol ORDER BY close * shares DESC, c.symbol LIMIT 100"))
+def o080u(spark, sf_dir):
+    c = s.table(spark, sf_dir, "customer")
+    closes = s.table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("close"))
+    shares = c.select(F.col("c_name").alias("symbol"), F.lit(0).alias("ts"), F.col("c_acctbal").alias("shares"))
+    return experiments.universe(closes, shares, 100).select("rank", "symbol", F.round("market_cap", 2).alias("market_cap"))

@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fluxbar import cli
 from fluxbar.operators import bars, trials
+from fluxbar.plans import experiments
 
 
 @pytest.mark.parametrize("parts", [1, 7, 512])
@@ -85,3 +87,26 @@ def test_scores_are_cut_and_rest_under_the_deadband(spark):
     assert got[("a", 1)] is None and got[("a", 11)] == 1.0 and -1 <= got[("a", 10)] < 0
     flat = trials.reversal_scores(df.withColumn("p", F.lit(1.0)), "t", "p", ["t"], 6, 3, 1.5).collect()
     assert {r.score for r in flat} == {None}
+
+
+def test_commands_write_tables(spark, tmp_path):
+    rows = [("ESH6", "2026-01-05 15:00:00", 100.0, 9.0), ("ESH6", "2026-01-05 15:00:00", 99.0, 1.0), ("ESM6", "2026-01-05 15:00:00", 110.0, 2.0), ("ESH6", "2026-01-06 15:00:00", 101.0, 3.0), ("ESM6", "2026-01-06 15:00:00", 112.0, 8.0)]
+    rows += [("ESM6", "2026-01-07 15:00:00", 113.0, 8.0), ("ESH6-ESM6", "2026-01-07 15:00:00", 1.0, 99.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts string, close double, volume double").withColumn("ts", F.to_timestamp_ntz("ts"))
+    df.write.parquet(str(tmp_path / "raw" / "ES.parquet"))
+    args = cli.parser().parse_args(["prepare-futures", str(tmp_path / "raw"), str(tmp_path / "out"), "--roots", "ES, NQ"])
+    (r,) = cli.prepared(spark, args).collect()
+    assert (r.root, r["rows"], r.contracts, r.rolls) == ("ES", 3, 2, 1)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()
+    assert [x.active for x in got] == ["ESH6", "ESM6", "ESM6"] and got[1].cont_logret == pytest.approx(math.log(112 / 110)) and got[0].cont_close == pytest.approx(100)
+
+    closes = spark.createDataFrame([(" a", 1, 5.0), ("A", 2, 2.0), ("B", 1, 3.0), ("C", 1, -1.0), ("D", 1, 9.0)], "symbol string, ts int, close double")
+    shares = spark.createDataFrame([("A", 1, 10.0), ("B", 1, 10.0), ("C", 1, 10.0), ("E", 1, 1.0)], "symbol string, ts int, shares double")
+    closes.write.parquet(str(tmp_path / "closes"))
+    shares.write.parquet(str(tmp_path / "shares"))
+    args = cli.parser().parse_args(["build-universe", *[str(tmp_path / f) for f in ("closes", "shares", "top")], "--top", "2"])
+    assert [(r["rank"], r.symbol, float(r.market_cap)) for r in cli.prepared(spark, args).orderBy("rank").collect()] == [("1", "B", 30.0), ("2", "A", 20.0)]
+
+    spark.createDataFrame([("x", 1.5), ("y", None)], "name string, score double").write.json(str(tmp_path / "runs" / "a" / "metrics-json"))
+    text = experiments.report(spark, str(tmp_path / "runs"), "score")
+    assert text.splitlines()[0].startswith("|name|score") and "|x|1.5|" in text
