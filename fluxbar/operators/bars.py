@@ -116,19 +116,23 @@ def ranges(df: DataFrame, column: str, parts: int):
     return lambda c: F.coalesce(F.size(F.filter(bounds, lambda cut: cut < number(c))), F.lit(0))
 
 
-def bar_details(assigned: DataFrame, roots: list[str], order: list[str], buckets: list[str]) -> DataFrame:
-    """(bar_id, root, last_price, and the share of each bucket in the root's notional) for each bar and listed root.
+def bar_details(assigned: DataFrame, roots: list[str], order: list[str], buckets: list[str], sums: list[str] | None = None) -> DataFrame:
+    """(bar_id, root, last_price, the share of each bucket in the root's notional, and the sums of columns) for each bar and listed root.
 
     A root that didn't trade in a bar keeps its last price of the bars before, NULL
-    before its first trade, and has no shares.
+    before its first trade, and has no shares or sums.
     """
     own = F.col("notional")
     each = assigned.groupBy("bar_id", "root").agg(
-        F.max_by("price", F.struct(*order)).alias("last_price"), *[div(F.coalesce(F.sum(F.when(F.col("bucket") == b, own)), F.lit(0.0)), F.sum(own)).alias(b) for b in buckets],
+        F.max_by("price", F.struct(*order)).alias("last_price"), *[div(F.coalesce(F.sum(F.when(F.col("bucket") == b, own)), F.lit(0.0)), F.sum(own)).alias(b) for b in buckets], *[F.sum(c).alias(c) for c in sums or []],
     )
-    grid = assigned.select("bar_id").distinct().withColumn("root", F.explode(F.array(*[F.lit(r) for r in roots])))
+    names = ["last_price", *buckets, *(sums or [])]
+    known = F.when(F.col("root").isNotNull(), F.struct("root", F.struct(*names)))
+    whole = each.groupBy("bar_id").agg(F.map_from_entries(F.collect_list(known)).alias("__by"))
+    grid = whole.withColumn("root", F.explode(F.array(*[F.lit(r) for r in roots]))).withColumn("__v", F.try_element_at("__by", F.col("root")))
+    grid = grid.select("bar_id", "root", *[F.col(f"__v.{c}").alias(c) for c in names])
     past = series("root", order="bar_id").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(each, ["bar_id", "root"], "left").withColumn("last_price", F.last("last_price", ignorenulls=True).over(past))
+    return grid.withColumn("last_price", F.last("last_price", ignorenulls=True).over(past))
 
 
 def bar_records(assigned: DataFrame, roots: list[str]) -> DataFrame:

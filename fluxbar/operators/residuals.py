@@ -20,10 +20,10 @@ def residual(panel: DataFrame, on: str, x: str) -> DataFrame:
     return panel.withColumn("residual", F.col(x) - F.avg(x).over(Window.partitionBy(on)))
 
 
-def convergence(panel: DataFrame, order: str, entry: float, exit_: float, stop: float | None = None, gate: str | None = None) -> DataFrame:
-    """panel (root, order, z) with position: against z from |z| >= entry until it is within exit; beyond stop flat, and in again while the gate is on. A fold a root."""
+def convergence(panel: DataFrame, order: str, entry: float, exit_: float, stop: float | None = None, gate: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """panel (root, order, z, and the columns of also) with position: against z from |z| >= entry until it is within exit; beyond stop flat, and in again while the gate is on. A fold a root."""
     kinds = {f.name: f.dataType.simpleString() for f in panel.schema}
-    rows = panel.select("root", order, "z", (F.col(gate) if gate else F.lit(True)).alias("__gate"))
+    rows = panel.select("root", order, "z", *also, (F.col(gate) if gate else F.lit(True)).alias("__gate"))
 
     def fold(pdf):
         pdf = pdf.sort_values(order)
@@ -39,9 +39,9 @@ def convergence(panel: DataFrame, order: str, entry: float, exit_: float, stop:
                 if not p and on and abs(z) >= entry:
                     p = -math.copysign(1.0, z)
             out.append(p)
-        return pdf.assign(position=out)[["root", order, "z", "position"]]
+        return pdf.assign(position=out)[["root", order, "z", *also, "position"]]
 
-    return rows.groupBy("root").applyInPandas(fold, f"root string, {order} {kinds[order]}, z double, position double")
+    return rows.groupBy("root").applyInPandas(fold, ", ".join(["root string", f"{order} {kinds[order]}", "z double", *[f"`{c}` {kinds[c]}" for c in also], "position double"]))
 
 
 def normalise(panel: DataFrame, on: str, demean: bool = True) -> DataFrame:

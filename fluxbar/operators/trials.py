@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxbar.functions import clip, div, guarded, series, trailing
-from fluxbar.operators import panels, stats, windows
+from fluxbar.functions import clip, div, guarded, ln, series, trailing
+from fluxbar.operators import panels, residuals, stats, windows
 
 
 def split_days(df: DataFrame, keys: list[str], day: str, share: float) -> DataFrame:
@@ -162,3 +162,16 @@ def retest(panel: DataFrame, on: str, price: str, rolled: str, lookbacks: list[i
     first = every.where("exposure > 0").groupBy("lookback").agg(F.min(on).alias("__first"))
     kept = every.join(first, "lookback").where(F.col(on) >= F.col("__first")).drop("__first")
     return kept.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs]))).withColumn("cost", F.col("turnover") * F.col("cost_bps") / 1e4)
+
+
+def gated_convergence(prices: DataFrame, on: str, price: str, gate: str, lookback: int, entry: float, exit_: float, stop: float, cost_bps: float, multipliers: list[float]) -> DataFrame:
+    """The portfolio of residuals.convergence() on the log price less its mean over the roots, under each multiple of the cost.
+
+    Positions are taken on only where the column `gate` is true. Prices that aren't
+    positive are missing, and a missing z-score ends a position.
+    """
+    w = series("root", order=on)
+    x = residuals.residual(prices.withColumn("__x", ln(price)), on, "__x").withColumn("ret", F.col("__x") - F.lag("__x").over(w))
+    z = x.withColumn("z", windows.rolling_z("residual", w, lookback)).withColumn("gate", F.coalesce(gate, F.lit(False)))
+    held = residuals.normalise(residuals.convergence(z.select("root", on, "z", "gate", "ret"), on, entry, exit_, stop, "gate", ("ret",)), on)
+    return residuals.cost_variants(residuals.portfolio(held, on, "ret", cost_bps), multipliers)

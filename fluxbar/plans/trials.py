@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fluxbar import sources as s
@@ -193,3 +194,28 @@ def o080u(spark, sf_dir):
     closes = s.table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("close"))
     shares = c.select(F.col("c_name").alias("symbol"), F.lit(0).alias("ts"), F.col("c_acctbal").alias("shares"))
     return experiments.universe(closes, shares, 100).select("rank", "symbol", F.round("market_cap", 2).alias("market_cap"))
+
+
+@query("o203_filtered_strategy", f"""WITH RECURSIVE {DOLLAR},
+b AS (SELECT f.bar AS bar_id, q.* FROM fold f JOIN seqd q USING (i)),
+ga AS (SELECT bar_id, abs(sum(signed) / sum(notional)) <= 0.3 AS gate FROM b GROUP BY 1),
+k AS (SELECT bar_id, root, arg_max(price, (ts, seq)) AS p FROM b GROUP BY 1, 2),
+g AS (SELECT ga.bar_id, gate, r.root, p FROM ga CROSS JOIN (SELECT DISTINCT root FROM trades) r LEFT JOIN k ON k.bar_id = ga.bar_id AND k.root = r.root),
+lp AS (SELECT bar_id, gate, root, ln(last_value(p IGNORE NULLS) OVER (PARTITION BY root ORDER BY bar_id ROWS UNBOUNDED PRECEDING)) AS x FROM g),
+rs AS (SELECT *, x - lag(x) OVER (PARTITION BY root ORDER BY bar_id) AS ret, x - avg(x) OVER (PARTITION BY bar_id) AS e FROM lp),
+z AS (SELECT *, CASE WHEN count(e) OVER w >= 20 THEN (e - avg(e) OVER w) / nullif(stddev_samp(e) OVER w, 0) END AS z, row_number() OVER (PARTITION BY root ORDER BY bar_id) AS i FROM rs WINDOW w AS (PARTITION BY root ORDER BY bar_id ROWS 19 PRECEDING)),
+f2(root, i, p) AS (SELECT root, i, CASE WHEN z IS NOT NULL AND gate AND abs(z) >= 1.5 THEN -sign(z) ELSE 0.0 END::DOUBLE FROM z WHERE i = 1 UNION ALL
+  SELECT z.root, z.i, CASE WHEN z.z IS NULL THEN 0.0 WHEN f2.p <> 0 AND NOT ((f2.p > 0 AND z.z >= -0.25) OR (f2.p < 0 AND z.z <= 0.25) OR abs(z.z) > 2.5) THEN f2.p WHEN z.gate AND abs(z.z) >= 1.5 THEN -sign(z.z) ELSE 0.0 END::DOUBLE FROM f2 JOIN z ON z.root = f2.root AND z.i = f2.i + 1),
+n AS (SELECT z.root, z.bar_id, z.ret, CASE WHEN sum(abs(f2.p)) OVER w > 0 THEN f2.p - avg(f2.p) OVER w ELSE 0 END AS d FROM f2 JOIN z ON z.root = f2.root AND z.i = f2.i WINDOW w AS (PARTITION BY z.bar_id)),
+wt AS (SELECT *, coalesce(d / nullif(sum(abs(d)) OVER (PARTITION BY bar_id), 0), 0) AS wt FROM n),
+h AS (SELECT *, coalesce(lag(wt) OVER o, 0) AS held, abs(wt - coalesce(lag(wt) OVER o, 0)) AS tn FROM wt WINDOW o AS (PARTITION BY root ORDER BY bar_id)),
+pf AS (SELECT bar_id, sum(held * coalesce(ret, 0)) AS gross, sum(tn) * 0.0001 AS cost FROM h GROUP BY 1)
+SELECT m AS multiplier, count(*) AS bars, round(sum(gross), 6) AS gross, round(sum(gross - cost * m), 6) AS net FROM pf CROSS JOIN (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) v(m) GROUP BY m""")
+def o203(spark, sf_dir):
+    t, roots = s.trades(spark, sf_dir).withColumn("bucket", F.lit("all")), roots_of(spark, sf_dir)
+    assigned = bars.assign_bars(t, bars.value_boundaries(t, 30000, ["ts", "seq"]), ["ts", "seq"])
+    prices = bars.bar_details(assigned, roots, ["ts", "seq"], [], ["notional", "signed"])
+    bar = Window.partitionBy("bar_id")
+    prices = prices.withColumn("calm", F.abs(div(F.sum("signed").over(bar), F.sum("notional").over(bar))) <= 0.3)
+    got = trials.gated_convergence(prices, "bar_id", "last_price", "calm", 20, 1.5, 0.25, 2.5, 1.0, [0.0, 1.0, 2.0])
+    return got.groupBy("multiplier").agg(F.count(F.lit(1)).alias("bars"), *[F.round(F.sum(c), 6).alias(c) for c in ("gross", "net")])
