@@ -82,7 +82,7 @@ def value_boundaries(trades: DataFrame, threshold: float, order: list[str], valu
     return dealt.mapInArrow(run, schema)
 
 
-def assign_bars(trades: DataFrame, boundaries: DataFrame, order: list[str], keys: list[str] | None = None, parts: int = 512) -> DataFrame:
+def assign_bars(trades: DataFrame, boundaries: DataFrame, order: list[str], keys: list[str] | None = None, parts: int = 64) -> DataFrame:
     """trades with the bar_id of the bar that holds each: the first boundary at or after it.
 
     Quantiles of the bars' ends cut the order into ranges, which are looked through
@@ -111,9 +111,16 @@ def ranges(df: DataFrame, column: str, parts: int):
     timed = df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
     number = lambda c: F.unix_micros(c.cast("timestamp")).cast("double") if timed else c.cast("double")
     cuts = df.agg(F.array_distinct(F.percentile_approx(number(F.col(column)), F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20 * parts)).alias("cuts")).first()["cuts"] or []
-    # Literals, so that retried tasks deal rows alike.
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(cuts)]).cast("array<double>")
-    return lambda c: F.coalesce(F.size(F.filter(bounds, lambda cut: cut < number(c))), F.lit(0))
+    bounds = sorted(float(c) for c in cuts)
+
+    # Halving over literals: few comparisons a row, and retried tasks deal rows alike.
+    def search(c: Column, low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(c > bounds[mid], search(c, mid + 1, high)).otherwise(search(c, low, mid))
+
+    return lambda c: search(number(c), 0, len(bounds))
 
 
 def bar_details(assigned: DataFrame, roots: list[str], order: list[str], buckets: list[str], sums: list[str] | None = None) -> DataFrame:
