@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxbar.functions import div, safe_corr, series
+from fluxbar.operators.bars import ranges
 from fluxbar.operators.windows import average_rank, deciles
 
 
@@ -78,18 +79,53 @@ def t_p_value(t: Column, df: Column) -> Column:
     return of(t, df.cast("double"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, keys: list[str] | None = None) -> DataFrame:
-    """df with q: p m / rank, made monotone from the largest p down, at most 1; rows without p keep NULL and don't count."""
+def benjamini_hochberg(df: DataFrame, p: str, keys: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """df with q: p m / rank, made monotone from the largest p down, at most 1; rows without p keep NULL and don't count.
+
+    A task holds a group's rows. With parts, for large groups, it holds the distinct p
+    of one of so many ranges; p must then be the same whenever it is worked out.
+    """
     keys = keys or []
     seen = df.where(F.col(p).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(p)
-    raw = F.col(p) * F.count(F.lit(1)).over(Window.partitionBy(*keys)) / F.row_number().over(w)
-    seen = seen.withColumn("__raw", raw)
-    q = F.least(F.min("__raw").over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))
-    done = seen.withColumn("q", q).drop("__raw")
+    if parts:
+        done = _q_by_ranges(seen, p, keys, parts)
+    else:
+        seen = seen.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(p)))
+        seen = seen.withColumn("__raw", F.col(p) * F.count(F.lit(1)).over(Window.partitionBy(*keys)) / F.col("__i"))
+        # From the largest p down: Spark works a frame that reaches to the end out anew for each row.
+        down = Window.partitionBy(*keys).orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
+        done = seen.withColumn("q", F.least(F.min("__raw").over(down), F.lit(1.0))).drop("__i", "__raw")
     return done.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
+def _q_by_ranges(seen: DataFrame, p: str, keys: list[str], parts: int) -> DataFrame:
+    """seen with q. Rows of one p share the last one's rank and so q, which is worked out once for each p.
+
+    Ranks are shifted by the sizes of the ranges before, least values come down from the ranges after.
+    """
+    place = ranges(seen.where(~F.isnan(p)), p, parts)
+    each = seen.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n")).withColumn("__range", place(F.col(p)))
+    own, whole = Window.partitionBy(*keys, "__range"), Window.partitionBy(*keys)
+    each = each.withColumn("__i", F.sum("__n").over(own.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)))
+
+    def joined(one: DataFrame, many: DataFrame, on: str, how: str = "inner") -> DataFrame:
+        named = many.withColumnsRenamed({c: f"__of_{c}" for c in [*keys, on]})
+        cond = F.col(on) == F.col(f"__of_{on}")
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+        return one.join(named, cond, how).drop(*[f"__of_{c}" for c in [*keys, on]])
+
+    # `parts` rows at most a key.
+    sizes = each.groupBy(*keys, "__range").agg(F.sum("__n").alias("__size"))
+    before = F.sum("__size").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*keys, "__range", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__size").over(whole).alias("__m"))
+    each = joined(each, sizes, "__range").withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__before") + F.col("__i")))
+    lows = each.groupBy(*keys, "__range").agg(F.min("__raw").alias("__low"))
+    lows = lows.select(*keys, "__range", F.min("__low").over(whole.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))
+    q = F.least(F.min("__raw").over(own.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)), "__later", F.lit(1.0))
+    return joined(seen, joined(each, lows, "__range").select(*keys, p, q.alias("q")), p, "left")
+
+
 def regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """Slope, its t, correlation and sign agreement of y on x; the slope's sign names momentum or mean reversion."""
     slope, sxx, syy, sxy = F.regr_slope(y, x), F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)

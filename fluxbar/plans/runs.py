@@ -251,7 +251,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY p, c_custkey) AS i, count(*) OVER ()
 SELECT c_custkey, round(least(1, min(p * n / i) OVER (ORDER BY p DESC, c_custkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS q FROM r""")
 def o184k(spark, sf_dir):
     c = s.table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") * 7919 % 10007 + 1) / F.lit(10008.0)).alias("p"))
-    return stats.benjamini_hochberg(c, "p").select("c_custkey", F.round("q", 9).alias("q"))
+    return stats.benjamini_hochberg(c, "p", parts=64).select("c_custkey", F.round("q", 9).alias("q"))
 
 
 @query("o189_entry_masks", _sql(HOURLY_RET + """,

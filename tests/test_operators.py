@@ -154,6 +154,29 @@ def test_benjamini_hochberg(spark):
     assert [round(out[x], 6) for x in (0.005, 0.01, 0.03, 0.04)] == [0.02, 0.02, 0.04, 0.04] and out[None] is None
 
 
+@pytest.mark.parametrize("parts", [None, 5])
+def test_q_values_of_large_groups(spark, parts):
+    """No frame reaches to the end of a group, which Spark works out anew for each row; ties, missing keys and missing p count as in a plain loop."""
+    rng = np.random.default_rng(4)
+    rows = [(k, i, None if i % 50 == 0 else float(x)) for k in ("a", None) for i, x in enumerate(np.round(rng.random(2000) ** 3, 3))] + [("b", 0, 0.7), ("c", 0, math.nan), ("c", 1, 0.5)]
+    df = frame(spark, "k string, i long, p double", rows)
+    want = {}
+    for keys in ([], ["k"]):
+        for k in {r[0] if keys else 0 for r in rows}:
+            own = sorted((r for r in rows if r[2] is not None and (not keys or r[0] == k)), key=lambda r: (math.isnan(r[2]), r[2]))
+            least = 1.0
+            for i in range(len(own), 0, -1):
+                raw = own[i - 1][2] * len(own) / i
+                least = least if math.isnan(raw) else min(least, raw)
+                want[own[i - 1][:2]] = least
+        out = stats.benjamini_hochberg(df, "p", keys, parts=parts)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower().replace("unboundedpreceding$(), unboundedfollowing$()", "")
+        got = out.collect()
+        assert len(got) == len(rows) and out.columns == ["k", "i", "p", "q"]
+        assert {(r.k, r.i): r.q for r in got if r.p is not None} == want and all(r.q is None for r in got if r.p is None)
+    assert stats.benjamini_hochberg(df.limit(0), "p", parts=parts).count() == 0
+
+
 def test_bootstrap_is_seeded(spark):
     df = frame(spark, "x double", [(float(i % 3),) for i in range(60)])
     a = stats.day_bootstrap(df, "x", 200, seed=1)
