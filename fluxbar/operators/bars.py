@@ -111,7 +111,7 @@ def ranges(df: DataFrame, column: str, parts: int):
     timed = df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
     number = lambda c: F.unix_micros(c.cast("timestamp")).cast("double") if timed else c.cast("double")
     cuts = df.agg(F.array_distinct(F.percentile_approx(number(F.col(column)), F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20 * parts)).alias("cuts")).first()["cuts"] or []
-    bounds = sorted(float(c) for c in cuts)
+    bounds = sorted(float(c) for c in cuts if c == c)
 
     # Halving over literals: few comparisons a row, and retried tasks deal rows alike.
     def search(c: Column, low: int, high: int) -> Column:

@@ -118,7 +118,7 @@ def o048(spark, sf_dir):
     t = s.trades(spark, sf_dir).select("root", "ts", "seq")
     last = F.max(F.struct("ts", "seq"))
     ends = t.groupBy("root", F.date_trunc("hour", "ts").alias("hour")).agg(last.alias("end")).select("root", "end.ts", F.col("end.seq").alias("next_seq"))
-    return joins.asof(t, ends, "ts", ["root"], ["next_seq"], forward=True).select("seq", "next_seq")
+    return joins.asof(t, ends, "ts", ["root"], ["next_seq"], forward=True, parts=64).select("seq", "next_seq")
 
 
 @query("o050_event_paths", _sql(s.HOURLY_SQL, """, p AS (SELECT *, ln(close) AS lp, row_number() OVER (PARTITION BY root ORDER BY hour) AS pos, ntile(1) OVER () AS one FROM hourly),

@@ -104,6 +104,24 @@ def test_asof_directions_and_ties(spark):
     assert got(False) == {1: 11, 2: None, 3: None} and got(True) == {1: 10, 2: 12, 3: 13}
 
 
+@pytest.mark.parametrize(("forward", "parts"), [(False, None), (False, 6), (True, None), (True, 6)])
+def test_asof_of_large_groups(spark, forward, parts):
+    """No frame reaches to the end of a group, which Spark works out anew for each row; rows without a time or a key match nothing, as in SQL."""
+    rng = np.random.default_rng(5)
+    left = [(k, None if i % 40 == 0 else int(t), i) for i, (k, t) in enumerate(zip(rng.choice(["a", "b", "c", None], 1500), rng.integers(-20, 320, 1500), strict=True))]
+    right = [(k, None if i % 15 == 0 else int(t), None if i % 4 == 0 else i, int(s)) for i, (k, t, s) in enumerate(zip(rng.choice(["a", "b", None], 90), rng.choice([*range(0, 40), *range(250, 300)], 90), rng.integers(0, 3, 90), strict=True))]
+    right = list({r[:2] + r[3:]: r for r in right}.values())
+    out = joins.asof(frame(spark, "k string, t long, id long", left), frame(spark, "k string, t long, v long, s long", right), "t", ["k"], ["v"], "s", forward, parts=parts)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower().replace("unboundedpreceding$(), unboundedfollowing$()", "")
+    want = {}
+    for k, t, i in left:
+        near = [r for r in right if k is not None and r[0] == k and t is not None and r[1] is not None and (r[1] >= t if forward else r[1] <= t)]
+        want[i] = (min if forward else max)(near, key=lambda r: (r[1], r[3]))[2] if near else None
+    got = out.collect()
+    assert {r.id: r.v for r in got} == want and len(got) == len(left) and out.columns == ["k", "t", "id", "v"]
+    assert len({*want.values()}) > 20
+
+
 def test_pairs_of_one_class_in_list_order():
     assert joins.pairs_of([("z", "x"), ("a", "x"), ("b", "y")]) == [("x", "z", "a")]
 
